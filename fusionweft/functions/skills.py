@@ -48,7 +48,7 @@ def skill(raw: Column, known: dict[str, str] | None = None) -> Column:
 
 def skill_list(raw: Column) -> Column:
     """array<struct<value, conf, known>>: one for each name at its first place, with the highest confidence seen."""
-    found = F.filter(F.transform(raw, skill), lambda s: s["value"] != "")
+    found = F.filter(F.transform(raw, lambda r: skill(r)), lambda s: s["value"] != "")
 
     def best(all_: Column) -> Column:
         names = F.array_distinct(F.transform(all_, lambda s: s["value"]))

@@ -38,6 +38,17 @@ def _member(value: Typed, name: str) -> Typed:
 def resolve(schema: T.StructType, path: str) -> Typed:
     """The column of a path: `a`, `a.b`, `a[0]`, `a[0].b`, `a[*].b`."""
 
+    def each(column: Column, kind: T.DataType, rest: list[str]) -> Typed:
+        found: list[T.DataType] = []
+
+        def one(x: Column) -> Column:
+            inner, kind_ = walk((x, kind), rest)
+            found.append(kind_)
+            return inner
+
+        out = F.transform(column, one)
+        return out, T.ArrayType(T.StringType() if isinstance(found[-1], T.NullType) else found[-1])
+
     def walk(value: Typed, steps: list[str]) -> Typed:
         for k, step in enumerate(steps):
             m = _STEP.match(step)
@@ -50,9 +61,7 @@ def resolve(schema: T.StructType, path: str) -> Typed:
             if not isinstance(kind, T.ArrayType):
                 return _null()
             if m[2] == "*":
-                rest, inner = steps[k + 1 :], []
-                out = F.transform(column, lambda x, kind=kind, rest=rest, inner=inner: (inner.append(walk((x, kind.elementType), rest)), inner[-1][0])[1])
-                return out, T.ArrayType(inner[-1][1] if not isinstance(inner[-1][1], T.NullType) else T.StringType())
+                return each(column, kind.elementType, steps[k + 1 :])
             value = F.get(column, F.lit(int(m[2]))), kind.elementType
         return value
 

@@ -51,8 +51,8 @@ def raw_columns(**given: Column) -> list[Column]:
     """The columns of RAW in order: those given, and defaults (null, or an empty array) for the rest."""
     out = []
     for name, kind in RAW.items():
-        column = given.get(name)
-        if column is None:
-            column = F.array().cast("array<string>") if kind == "array<string>" else (F.lit(None) if not kind.startswith("array") else F.expr(f"cast(array() as {kind})"))
-        out.append(column.cast(kind).alias(name))
+        column = given.get(name, F.lit(None)).cast(kind)
+        if kind.startswith("array"):
+            column = F.coalesce(column, F.expr(f"cast(array() as {kind})"))
+        out.append(column.alias(name))
     return out
