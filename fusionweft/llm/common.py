@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space that separates words: blank and the control characters 9 to 13.
 WORD_SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -43,3 +45,8 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def literal_rows(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:
+    """A small table that is part of the plan. kind: struct<...> of the rows."""
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<{kind}>")))

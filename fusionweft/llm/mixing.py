@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import literal_rows, stored
 
 BLOCKS = 1024
 MAX_REPEATS = 2.0
@@ -105,9 +105,8 @@ def plan(docs: DataFrame, seed: int = 7, **how) -> tuple[DataFrame, bool]:
     rows = []
     for (name, tokens), weight, times in zip(totals, weights, used, strict=True):
         whole = int(times + 1e-9)
-        rows.append((name, exponent, weight, tokens, whole, max(0, round((times - whole) * tokens))))
-    kind = "__source string, __exponent double, __weight double, __tokens long, __whole int, __part long"
-    sources = spark.createDataFrame(rows, kind)
+        rows.append({"__source": name, "__exponent": exponent, "__weight": weight, "__tokens": tokens, "__whole": whole, "__part": max(0, round((times - whole) * tokens))})
+    sources = literal_rows(spark, rows, "struct<__source:string,__exponent:double,__weight:double,__tokens:bigint,__whole:int,__part:bigint>")
     sources = F.broadcast(sources) if len(rows) <= SMALL else sources
 
     same = lambda a, b: a["__source"].eqNullSafe(b["__source"])

@@ -19,6 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import literal_rows
+
 BUCKETS = 512
 GRAM = 3
 EPOCHS = 60
@@ -42,7 +44,7 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
         for k, word in enumerate(words):
             other = words[(5 * k + 3) % len(words)]
             rows += [(f"https://www.{word}.example.com/{other}/{k + 10}.html", label), (f"http://{word}-{other}.example.net/", label), (f"https://site{k}.example.org/{word}/{other}?page={k}", label), (f"http://{other}.example.com/en/{word}-{k}", label)]
-    return spark.createDataFrame(rows, "url string, label int")
+    return literal_rows(spark, [{"url": u, "label": n} for u, n in rows], "struct<url:string,label:int>")
 
 
 def host_of(url: Column) -> Column:
