@@ -39,7 +39,7 @@ def date(raw: Column) -> Column:
             (p := r"^([a-z]+)\.?(?U:\s)+['`](\d{2})$", dash(F.concat(F.when(short <= "30", "20").otherwise("19"), short), lookup(MONTHS, part(p, 1))), 0.85),
             (p := r"^(\d{4})$", F.when(part(p, 1).between("1950", "2050"), part(p, 1)), 0.8),
         ]
-        out = F.when(t.isin(*CURRENT), F.struct(F.lit(None).cast("string").alias("value"), F.lit(True).alias("current"), F.lit(1.0).alias("conf")))
+        out = F.when(lookup({c: "now" for c in CURRENT}, t).isNotNull(), F.struct(F.lit(None).cast("string").alias("value"), F.lit(True).alias("current"), F.lit(1.0).alias("conf")))
         for pattern, value, conf in rows:
             out = out.when(t.rlike(pattern), _found(value, conf))
         return out.otherwise(_found(F.lit(None), 0.0))

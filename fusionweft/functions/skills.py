@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import let, lookup, py_title, strip
+from .core import let, literal_structs, lookup, py_title, strip
 
 _FILE = Path(__file__).resolve().parents[1] / "resources" / "skills_taxonomy.json"
 
@@ -30,7 +30,7 @@ def taxonomy() -> dict[str, str]:
 def skill(raw: Column, known: dict[str, str] | None = None) -> Column:
     """struct<value, conf, known>: an alias 1.0, the first alias (in file order) followed by a blank or dot 0.9, else title case 0.7."""
     known = taxonomy() if known is None else known
-    aliases = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(c).alias("c")) for a, c in known.items()])
+    aliases = literal_structs([{"a": a, "c": c} for a, c in known.items()]) if known else None
     clean = strip(F.regexp_replace(F.regexp_replace(strip(raw), r"(?U)[^\w\s.+#-]", ""), r"(?U)\s+", " "))
 
     def told(value: Column, conf: float, is_known: bool) -> Column:
@@ -62,12 +62,11 @@ def skill_list(raw: Column) -> Column:
 def skills_in(text: Column) -> Column:
     """Canonical names of all aliases that stand alone in a text, longer aliases first, each name once."""
     ordered = sorted(taxonomy().items(), key=lambda x: -len(x[0]))
-    aliases = F.array(*[F.struct(F.lit(rf"(?<![a-zA-Z0-9\-])\Q{a}\E(?![a-zA-Z0-9\-])").alias("p"), F.lit(c).alias("c")) for a, c in ordered])
-    # a plain search for the alias is much cheaper than the pattern and rules most of them out
-    plain = F.array(*[F.lit(a) for a, _ in ordered])
+    aliases = literal_structs([{"a": a, "c": c, "p": rf"(?<![a-zA-Z0-9\-])\Q{a}\E(?![a-zA-Z0-9\-])"} for a, c in ordered])
 
     def found(low: Column) -> Column:
-        hits = F.filter(F.arrays_zip(aliases.alias("x"), plain.alias("a")), lambda z: low.contains(z["a"]))
-        return F.array_distinct(F.transform(F.filter(hits, lambda z: F.regexp_like(low, z["x"]["p"])), lambda z: z["x"]["c"]))
+        # a plain search for the alias is much cheaper than the pattern and rules most of them out
+        hits = F.filter(F.filter(aliases, lambda z: low.contains(z["a"])), lambda z: F.regexp_like(low, z["p"]))
+        return F.array_distinct(F.transform(hits, lambda z: z["c"]))
 
     return let(F.lower(text), found)
