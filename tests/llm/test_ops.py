@@ -292,3 +292,17 @@ def test_url_rules_and_model(spark):
     assert "Python" not in plan and "Exchange" not in plan
     assert urlfilter.judge(pages.limit(0), queries.RULES, urlfilter.labelled_urls(spark)).count() == 0
     assert math.isclose(urlfilter.train(urlfilter.labelled_urls(spark).where("label = 1"))[-1], -100.0)
+
+
+@pytest.mark.parametrize("per_task", [10**6, 40])
+def test_components_of_paths_stars_and_cycles(spark, monkeypatch, per_task):
+    from fusionweft.llm import components
+
+    monkeypatch.setattr(components, "LINKS_PER_TASK", per_task)
+    r = random.Random(2)
+    links = [(i, i + 1) for i in range(100, 220)] + [(500, k) for k in range(300, 360)] + [(601, 602), (602, 603), (603, 601), (7, 7)]
+    r.shuffle(links)
+    found = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()}
+    want = {i: 100 for i in range(100, 221)} | {k: 300 for k in [*range(300, 360), 500]} | {601: 601, 602: 601, 603: 601}
+    assert found == want
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
