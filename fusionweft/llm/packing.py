@@ -14,6 +14,7 @@ packed like any others.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -29,8 +30,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Cells per length in which pieces are ranked, so that a frequent length is not ranked in one task.
 CELLS = 1024
-#: Words that a Python worker keeps with their ids; the store is emptied when full, which changes no result.
-CACHE_WORDS = 300_000
+#: Words that a Python worker keeps with their ids, in each of two generations; what is kept changes no result.
+CACHE_WORDS = 250_000
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 20
 
 
 class WordEncoder:
@@ -44,30 +47,89 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(vocabulary), limit, {}
-
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 2000):
-            part = words[at : at + 2000]
+        self.tokenizer, self.limit = Tokenizer.from_file(vocabulary), limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = {m: self._bytes(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
+        # The same model without normalising and splitting: for words that need neither.
+        rules = json.loads(self.tokenizer.to_str())
+        end = rules["model"]["end_of_word_suffix"] or ""
+        rules |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.lean = Tokenizer.from_str(json.dumps(rules))
+        self.ends = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
+        for token, k in rules["model"]["vocab"].items():
+            self.ends[k] = bool(end) and token.endswith(end)
+        self.letters = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256) if chr(c).isalpha()}
+
+    @staticmethod
+    def _bytes(ids: list[int]) -> bytes:
+        return np.array(ids, "<u4").tobytes()
+
+    def _encode(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha() and w.islower() and max(w) <= "\xff"]
+        for at in range(0, len(plain), 1000):
+            part = plain[at : at + 1000]
+            ids = np.array(self.lean.encode_batch_fast([" ".join(part).translate(self.letters)], add_special_tokens=False)[0].ids, "<u4")
+            self._keep(part, ids, np.flatnonzero(self.ends[ids]) + 1)
+        known = set(plain)
+        rest = [w for w in words if w not in known]
+        for at in range(0, len(rest), 1000):
+            part = rest[at : at + 1000]
             got = self.tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0]
             owner = got.word_ids
             if None in owner:  # a special token's string stands in a word
                 for word, one in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    self.known[word] = np.array(one.ids, "<u4").tobytes()
+                    self.young[word] = self._bytes(one.ids)
                 continue
-            ids, ends = np.array(got.ids, "<u4").tobytes(), np.searchsorted(np.array(owner, np.int64), np.arange(len(part) + 1))
-            for k, word in enumerate(part):
-                self.known[word] = ids[4 * ends[k] : 4 * ends[k + 1]]
+            self._keep(part, np.array(got.ids, "<u4"), np.searchsorted(np.array(owner, np.int64), np.arange(1, len(part) + 1)))
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        """ends: where each word's ids end."""
+        if len(ends) != len(words):
+            raise ValueError("the vocabulary does not mark the ends of words")
+        data, at = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.young[word] = data[at:end]
+            at = end
+
+    def learn(self, words: set[str]) -> None:
+        """Sees to it that the words are in the young generation."""
+        young, old, fresh, marked = self.young, self.old, set(), []
+        for word in words:
+            if (ids := old.get(word)) is not None:
+                young[word] = ids
+            elif word[-1:] in self.marks and word[:-1].isalpha():  # letters and one mark never merge
+                marked.append(word)
+                if (bare := word[:-1]) not in young and bare not in words:
+                    if (ids := old.get(bare)) is not None:
+                        young[bare] = ids
+                    else:
+                        fresh.add(bare)
+            else:
+                fresh.add(word)
+        self._encode(list(fresh))
+        for word in marked:
+            young[word] = young[word[:-1]] + self.marks[word[-1]]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        split = []
+        for text in texts:
+            if "<|" not in text:  # strings of special tokens are told apart by case
+                try:
+                    text.encode("latin-1")  # in this range, case and composition of characters don't depend on each other
+                    text = text.lower()
+                except UnicodeEncodeError:
+                    pass
+            split.append(text.replace("\n", " ").split(" "))
+        words = set().union(*split)
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        self.learn(words.difference(self.young))
+        return [b"".join(map(self.young.__getitem__, s)) for s in split]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").split(" ")
-        fresh = [w for w in set(words) if w not in self.known]
-        if len(self.known) + len(fresh) > self.limit:
-            self.known, fresh = {}, list(set(words))
-        if fresh:
-            self.learn(fresh)
-        return b"".join(map(self.known.__getitem__, words))
+        return self.encode_all([text])[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -84,17 +146,23 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = int(end_id).to_bytes(4, "little")
+        names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
-                ids = (encoder(vocabulary).encode(text) if text else b"") + end
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    row = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
-                    rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            doc_ids, texts, at = batch["doc_id"].tolist(), [t or "" for t in batch["text"].tolist()], 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and size < TOGETHER:
+                    size += len(texts[to])
+                    to += 1
+                rows = []
+                for doc_id, ids in zip(doc_ids[at:to], encoder(vocabulary).encode_all(texts[at:to]), strict=True):
+                    ids += end
+                    for k, first in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[first : first + 4 * capacity]
+                        row = (doc_id, k, first // 4, len(part) // 4, zlib.crc32(part))
+                        rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
+                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                at = to
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, kind)
