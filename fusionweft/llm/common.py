@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def ready(df: DataFrame) -> DataFrame:
+    """df, with this library's folder on the path of the Python workers to come, wherever the driver was started.
+
+    Clusters install the library on their machines; there the entry does no harm.
+    """
+    environment = df.sparkSession.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if _ROOT not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([p for p in paths if p] + [_ROOT])
+    return df
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ready, stored
 
 #: Links that one task contracts. The number of tasks follows the number of links.
 LINKS_PER_TASK = 500_000
@@ -37,7 +37,7 @@ def _contracted(links: DataFrame, tasks: int) -> DataFrame:
         nodes = list(up)
         yield pd.DataFrame({"a": nodes, "b": [top(x) for x in nodes]}, columns=["a", "b"])
 
-    return links.coalesce(tasks).mapInPandas(run, links.schema)
+    return ready(links).coalesce(tasks).mapInPandas(run, links.schema)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready
+
 #: Hashed n-grams: 2 ** BITS numbers for each language, whatever the corpus.
 BITS = 15
 ROUNDS = 25
@@ -71,7 +73,7 @@ def fit(docs: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(total)
             yield pd.DataFrame({"lang": lang, "part": at >> 8, "at": at & 255, "n": total[at]})
 
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string"))
+    labelled = ready(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string"))
     counts = labelled.mapInPandas(count, "lang string, part int, at int, n long").groupBy("lang", "part", "at").agg(F.sum("n").alias("n"))
     packed = counts.groupBy("lang", "part").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))  # at most 256 each
     model: dict[str, np.ndarray] = {}
@@ -134,7 +136,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             out["shares"] = pd.Series([g[2] for g in got], dtype=object)
             yield out
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, shares map<string,double>")
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, shares map<string,double>")
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ready
+
 UNIT = 64
 RATE, TARGET_RATE = 8000, 16000
 #: WAVE format tags of the three codecs.
@@ -203,7 +205,7 @@ def store_payloads(frame: DataFrame, key: str, payload: str, with_media: bool =
 
     names = [key, "codec", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media", "pcm"] * with_media
     kind = f"`{key}` long, codec string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, pcm binary" * with_media
-    return frame.select(F.col(key).cast("long").alias("k"), F.col(payload).cast("binary").alias("v")).mapInPandas(run, kind)
+    return ready(frame).select(F.col(key).cast("long").alias("k"), F.col(payload).cast("binary").alias("v")).mapInPandas(run, kind)
 
 
 def decode_media(frame: DataFrame, key: str, media: str, target: int = TARGET_RATE) -> DataFrame:
@@ -221,4 +223,4 @@ def decode_media(frame: DataFrame, key: str, media: str, target: int = TARGET_RA
                     out.append((k, None, None, None))
             yield pd.DataFrame(out, columns=[key, "codec", "pcm", "feature"]).astype({key: "Int64"})
 
-    return frame.select(F.col(key).cast("long").alias("k"), F.col(media).cast("binary").alias("v")).mapInPandas(run, f"`{key}` long, codec string, pcm binary, feature string")
+    return ready(frame).select(F.col(key).cast("long").alias("k"), F.col(media).cast("binary").alias("v")).mapInPandas(run, f"`{key}` long, codec string, pcm binary, feature string")

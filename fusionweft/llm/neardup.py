@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest
 
-from .common import stored
+from .common import ready, stored
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 sigs.append(minwise(grams).tobytes() if len(grams) else None)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": sizes, "set": sets, "sig": sigs})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set binary, sig binary")
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set binary, sig binary")
 
 
 def _branch(rows: DataFrame, depth: int) -> DataFrame:
@@ -152,7 +152,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFra
             yield pd.DataFrame({"set": [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in grams], "grams": [g.tobytes() for g in grams]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select("text")
-    return texts.mapInPandas(run, "set binary, grams binary").dropDuplicates(["set"])
+    return ready(texts).mapInPandas(run, "set binary, grams binary").dropDuplicates(["set"])
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:

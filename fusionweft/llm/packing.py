@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ready, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -165,7 +165,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                 at = to
 
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, kind)
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, kind)
 
 
 def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ready, stored
 
 SHARDS = 40
 OVERHEAD = 16
@@ -87,7 +87,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD) -> Da
     text = F.col("text").cast("binary")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead
     crc = F.crc32(F.coalesce(text, F.lit(b"")))
-    rows = stored(docs.select(F.col("doc_id").cast("long"), size.alias("size"), crc.alias("text_crc32"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")), "sizes")
+    rows = stored(ready(docs).select(F.col("doc_id").cast("long"), size.alias("size"), crc.alias("text_crc32"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")), "sizes")
     buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows.count() // PER_BUCKET))))
     groups = rows.groupBy("a", "b").agg(F.sum("size").alias("size")).withColumn("bucket", F.pmod(F.col("a"), F.lit(buckets)).cast("int"))
 

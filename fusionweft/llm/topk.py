@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ready, stored
 
 SCALE = 256
 BLOCK, QUERY_BLOCK = 1024, 1024
@@ -83,7 +83,7 @@ def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.n
 
 def search(frame: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows of frame for each row of queries."""
-    rows, asked = stored(quantise(frame, key, vector), "vectors"), stored(quantise(queries, key, vector), "queries")
+    rows, asked = stored(quantise(ready(frame), key, vector), "vectors"), stored(quantise(queries, key, vector), "queries")
     blocks, query_blocks = max(1, -(-rows.count() // BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
 
     def every(n: int):

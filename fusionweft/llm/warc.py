@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stored
+from .common import fresh_path, ready, stored
 
 LEAST_SHARED = 100
 MAGIC = b"WARC/1.0\r\n"
@@ -150,7 +150,7 @@ def emit(spark: SparkSession, path: str) -> DataFrame:
                 yield out.astype({"id": "Int64", "refers_to": "Int64"})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, _KIND)
+    return ready(files).mapInPandas(run, _KIND)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
