@@ -2,9 +2,11 @@
 
 A partial partition is a vector of the bytes that each shard has so far. Differencing takes the two partial partitions with
 the largest spread and adds them in opposite order, the largest parts of one to the smallest of the other, until one is
-left. Groups of equal texts are the units. They fall into buckets by hash; each bucket is differenced in a task of its own
-(in stretches of `STRETCH` units, whose results are differenced again), and the buckets' vectors, at most `MOST_BUCKETS` of
-them, are differenced on the driver. A unit's shard is then read back down that tree.
+left. Groups of equal texts are the units. Units of more than a `LARGE`-th of a shard's fair part, of which there are at most
+`LARGE` for each shard, go to the driver. All others fall into buckets by hash; each bucket is differenced in a task of its
+own (in stretches of `STRETCH` units, whose results are differenced again). The buckets' vectors, at most `MOST_BUCKETS` of
+them, are then differenced on the driver together with the large units: those have the largest spreads and are placed first,
+and the buckets even out what they leave. A unit's shard is read back down that tree.
 
 Cases: a null text has no bytes and is a group of its own kind (not the same as an empty text); very long texts weigh their
 bytes; ties are broken by the text's hash, so the result does not depend on the order of rows; repeated rows are placed as
@@ -28,6 +30,7 @@ OVERHEAD = 16
 #: Documents for each bucket, and the bounds on the number of buckets.
 PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 5000, 64, 8192
 STRETCH = 20_000
+LARGE = 256
 #: Cells of a shard in which slots are numbered, so that no task numbers a whole shard.
 CELLS = 64
 
@@ -88,20 +91,25 @@ def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD) -> Da
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + overhead
     crc = F.crc32(F.coalesce(text, F.lit(b"")))
     rows = stored(ready(docs).select(F.col("doc_id").cast("long"), size.alias("size"), crc.alias("text_crc32"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")), "sizes")
-    buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-rows.count() // PER_BUCKET))))
-    groups = rows.groupBy("a", "b").agg(F.sum("size").alias("size")).withColumn("bucket", F.pmod(F.col("a"), F.lit(buckets)).cast("int"))
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).head()
+    buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-whole["n"] // PER_BUCKET))))
+    edge = whole["size"] // (shards * LARGE)
+    groups = stored(rows.groupBy("a", "b").agg(F.sum("size").alias("size")).withColumn("bucket", F.pmod(F.col("a"), F.lit(buckets)).cast("int")), "groups")
+    large = groups.where(F.col("size") > edge).select("a", "b", "size").orderBy(F.desc("size"), "a", "b").collect()  # at most shards x LARGE rows
 
     def split(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.sort_values(["size", "a", "b"], ascending=[False, True, True], kind="stable")
         return batch.assign(part=difference_units(batch["size"].to_numpy(), shards).astype(np.int32))
 
-    parted = stored(groups.groupBy("bucket").applyInPandas(split, "a long, b long, size long, bucket int, part int"), "parts")
-    sums = np.zeros((buckets, shards), np.int64)
+    parted = stored(groups.where(F.col("size") <= edge).groupBy("bucket").applyInPandas(split, "a long, b long, size long, bucket int, part int"), "parts")
+    sums = np.zeros((len(large) + buckets, shards), np.int64)
+    sums[: len(large), 0] = [r["size"] for r in large]
     for row in parted.groupBy("bucket", "part").agg(F.sum("size").alias("size")).toLocalIterator():  # buckets x shards rows
-        sums[row["bucket"], row["part"]] = row["size"]
+        sums[len(large) + row["bucket"], row["part"]] = row["size"]
     label, _ = difference(sums)
-    turns = spark.createDataFrame(pd.DataFrame({"bucket": np.repeat(np.arange(buckets), shards), "part": np.tile(np.arange(shards), buckets), "shard": label.ravel()}), "bucket int, part int, shard int")
-    homes = parted.join(F.broadcast(turns), ["bucket", "part"]).select("a", "b", "shard")
+    turns = spark.createDataFrame(pd.DataFrame({"bucket": np.repeat(np.arange(buckets), shards), "part": np.tile(np.arange(shards), buckets), "shard": label[len(large) :].ravel()}), "bucket int, part int, shard int")
+    alone = spark.createDataFrame([(r["a"], r["b"], int(x)) for r, x in zip(large, label[:, 0], strict=False)], "a long, b long, shard int")
+    homes = parted.join(F.broadcast(turns), ["bucket", "part"]).select("a", "b", "shard").union(alone)
 
     cell = F.pmod(F.xxhash64("doc_id", "b"), F.lit(CELLS)).cast("int")
     placed = stored(rows.join(homes, ["a", "b"]).select("doc_id", "size", "text_crc32", "shard", cell.alias("cell")), "placed")
