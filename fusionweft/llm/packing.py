@@ -14,13 +14,16 @@ packed like any others.
 
 from __future__ import annotations
 
-import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,16 +34,22 @@ END_ID = 1
 #: Cells per length in which pieces are ranked, so that a frequent length is not ranked in one task.
 CELLS = 1024
 #: Words that a Python worker keeps with their ids, in each of two generations; what is kept changes no result.
-CACHE_WORDS = 250_000
-#: Characters of texts that are encoded together.
-TOGETHER = 1 << 20
+CACHE_WORDS = 150_000
+#: Bytes of texts that are encoded together.
+TOGETHER = 1 << 22
+
+
+#: What plain prose does not hold: characters other than Latin-1 letters, digits, blanks, line ends, dots and commas; and a dot
+#: or comma inside a word or next to another.
+_NOT_PLAIN = r"[^A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}0-9 \n.,]|[.,][^ \n]"
 
 
 class WordEncoder:
-    """Ids of whole texts, put together from the ids of their blank-separated parts.
+    """Ids of whole texts, put together from the ids of their blank-separated words.
 
-    The vocabulary's rules never merge across white space, so the ids of a text are those of its parts in order. Parts are
-    encoded once per worker and looked up afterwards, which is several times faster than encoding each text.
+    The vocabulary's rules never merge across white space, so the ids of a text are those of its words in order. A word of
+    printable Latin-1 characters is lowered, split by the vocabulary's own pattern and given to its model; any other word goes
+    through the whole tokenizer. Words are encoded once and looked up afterwards.
     """
 
     def __init__(self, vocabulary: str, limit: int = CACHE_WORDS):
@@ -48,88 +57,74 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.limit = Tokenizer.from_file(vocabulary), limit
+        self.model = self.tokenizer.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.marks = {m: self._bytes(self.tokenizer.encode(m, add_special_tokens=False).ids) for m in ".,"}
-        # The same model without normalising and splitting: for words that need neither.
-        rules = json.loads(self.tokenizer.to_str())
-        end = rules["model"]["end_of_word_suffix"] or ""
-        rules |= {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.lean = Tokenizer.from_str(json.dumps(rules))
-        self.ends = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
-        for token, k in rules["model"]["vocab"].items():
-            self.ends[k] = bool(end) and token.endswith(end)
-        self.letters = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256) if chr(c).isalpha()}
-
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
-
-    def _encode(self, words: list[str]) -> None:
-        plain = [w for w in words if w.isalpha() and w.islower() and max(w) <= "\xff"]
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            ids = np.array(self.lean.encode_batch_fast([" ".join(part).translate(self.letters)], add_special_tokens=False)[0].ids, "<u4")
-            self._keep(part, ids, np.flatnonzero(self.ends[ids]) + 1)
-        known = set(plain)
-        rest = [w for w in words if w not in known]
-        for at in range(0, len(rest), 1000):
-            part = rest[at : at + 1000]
-            got = self.tokenizer.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0]
-            owner = got.word_ids
-            if None in owner:  # a special token's string stands in a word
-                for word, one in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    self.young[word] = self._bytes(one.ids)
-                continue
-            self._keep(part, np.array(got.ids, "<u4"), np.searchsorted(np.array(owner, np.int64), np.arange(1, len(part) + 1)))
-
-    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        """ends: where each word's ids end."""
-        if len(ends) != len(words):
-            raise ValueError("the vocabulary does not mark the ends of words")
-        data, at = ids.tobytes(), 0
-        for word, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.young[word] = data[at:end]
-            at = end
+        self.one = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        latin = [chr(c) for c in range(33, 256) if chr(c).isprintable()]
+        letters, digits = ("".join(re.escape(c) for c in latin if unicodedata.category(c)[0] == kind) for kind in "LN")
+        self.parts = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{letters}{digits}]+").findall
+        self.bytes_of = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in latin if ord(c) > 127}
+
+    def _part(self, part: str) -> bytes:
+        ids = self.young.get(part) or self.old.get(part)
+        if ids is None:
+            one = self.one
+            ids = b"".join([one[t.id] for t in self.model.tokenize(part if part.isascii() else part.translate(self.bytes_of))])
+        self.young[part] = ids
+        return ids
 
     def learn(self, words: set[str]) -> None:
         """Sees to it that the words are in the young generation."""
-        young, old, fresh, marked = self.young, self.old, set(), []
+        young, old, part, one, tokenize = self.young, self.old, self._part, self.one, self.model.tokenize
         for word in words:
             if (ids := old.get(word)) is not None:
                 young[word] = ids
-            elif word[-1:] in self.marks and word[:-1].isalpha():  # letters and one mark never merge
-                marked.append(word)
-                if (bare := word[:-1]) not in young and bare not in words:
-                    if (ids := old.get(bare)) is not None:
-                        young[bare] = ids
-                    else:
-                        fresh.add(bare)
+            elif word.isascii() and word.isalpha() and word.islower():
+                young[word] = b"".join([one[t.id] for t in tokenize(word)])
+            elif word.isprintable() and (word.isascii() or max(word) <= "\xff") and "<|" not in word:
+                low = word.lower()
+                if low.isalpha():
+                    young[word] = part(low)
+                elif (bare := low[:-1]).isalpha() and low[-1] in ".,":
+                    young[word] = part(bare) + part(low[-1])
+                else:
+                    young[word] = b"".join(map(part, self.parts(low)))
             else:
-                fresh.add(word)
-        self._encode(list(fresh))
-        for word in marked:
-            young[word] = young[word[:-1]] + self.marks[word[-1]]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit numbers."""
-        split = []
-        for text in texts:
-            if "<|" not in text:  # strings of special tokens are told apart by case
-                try:
-                    text.encode("latin-1")  # in this range, case and composition of characters don't depend on each other
-                    text = text.lower()
-                except UnicodeEncodeError:
-                    pass
-            split.append(text.replace("\n", " ").split(" "))
-        words = set().union(*split)
+                young[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    @staticmethod
+    def _simpler(texts: pa.Array) -> pa.Array:
+        """Texts with the same ids and fewer different words: plain prose is lowered, and its marks stand alone."""
+        plain = pc.invert(pc.match_substring_regex(texts, _NOT_PLAIN))
+        marks = pc.replace_substring(pc.replace_substring(texts, ".", " ."), ",", " ,")
+        return pc.if_else(plain, pc.utf8_lower(marks), texts)
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (a string array without nulls) as little-endian unsigned 32-bit numbers.
+
+        Words are split and told apart by Arrow; Python sees each different word of these texts once.
+        """
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        self.learn(words.difference(self.young))
-        return [b"".join(map(self.young.__getitem__, s)) for s in split]
+        lists = pc.split_pattern(pc.replace_substring(self._simpler(texts), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.young.get, words))
+        if None in ids:
+            self.learn({w for w, found in zip(words, ids, strict=True) if found is None})
+            ids = [self.young[w] if found is None else found for w, found in zip(words, ids, strict=True)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        pool, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        index = coded.indices.to_numpy()
+        each = size[index]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        every = pool[np.repeat(first[index] - ends[:-1], each) + np.arange(ends[-1])]
+        cuts = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return [every[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return self.encode_all(pa.array([text], pa.string()))[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -144,28 +139,31 @@ def encoder(vocabulary: str) -> WordEncoder:
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Each document's pieces: doc_id, piece, start, length, ids_crc32, and the ids themselves where asked for."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = int(end_id).to_bytes(4, "little")
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
-            doc_ids, texts, at = batch["doc_id"].tolist(), [t or "" for t in batch["text"].tolist()], 0
+            doc_ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1).cast(pa.string()), "")
+            sizes, at = pc.binary_length(texts).to_pylist(), 0
             while at < len(texts):
                 to, size = at, 0
                 while to < len(texts) and size < TOGETHER:
-                    size += len(texts[to])
+                    size += sizes[to]
                     to += 1
                 rows = []
-                for doc_id, ids in zip(doc_ids[at:to], encoder(vocabulary).encode_all(texts[at:to]), strict=True):
+                for doc_id, ids in zip(doc_ids[at:to], encoder(vocabulary).encode_all(texts.slice(at, to - at)), strict=True):
                     ids += end
                     for k, first in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[first : first + 4 * capacity]
                         row = (doc_id, k, first // 4, len(part) // 4, zlib.crc32(part))
                         rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
-                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 at = to
 
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, kind)
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
 
 
 def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:

@@ -156,7 +156,11 @@ def test_special_strings_and_odd_spaces_are_encoded_as_the_library_does():
     from tokenizers import Tokenizer
 
     plain, own = Tokenizer.from_file(queries.vocabulary()), packing.WordEncoder(queries.vocabulary(), limit=4)
-    for text in ["a<|endoftext|>b  c", "x\x1cy\u00a0z\u2003w", "It's   O\u0301K\t\nnow", "\u0301a \u0301", "İstanbul ΣΑΣ", "", "  "]:
+    r = random.Random(8)
+    latin = "".join(map(chr, range(1, 256)))
+    odd = ["".join(r.choice(latin + "'sdrelvmt  aeiou" * 9) for _ in range(r.randint(1, 60))) for _ in range(800)]
+    odd += ["".join(r.choice("aB'é\u0301\u030cJΣ <|endoftext|>²1٣ß中\u2028") for _ in range(30)) for _ in range(400)]
+    for text in [*odd, "a<|ENDOFTEXT|>b<|startoftext|>", "a<|endoftext|>b  c", "x\x1cy\u00a0z\u2003w", "It's   O\u0301K\t\nnow", "\u0301a \u0301", "İstanbul ΣΑΣ", "", "  "]:
         assert np.frombuffer(own.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
