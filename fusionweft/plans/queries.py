@@ -421,18 +421,35 @@ query("validate_schema", _BAD, lambda d: _validated(d).select("k", F.array_join(
 query("validate_semantic", _BAD, lambda d: _validated(d).select("k", F.array_join("w", "; ").alias("warnings")), f"SELECT k, concat_ws('; ', CASE WHEN a > b THEN 'Invalid date range for Acme: start=' || a || ' > end=' || b END, CASE WHEN y > {YEAR + 10} THEN 'Suspicious future education year ' || y || ' at U' END, CASE WHEN p = '555' THEN 'Phone not in E.164 format: 555' END) AS warnings FROM i")
 
 
-def pipeline_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the three sources, with the default view: the record as JSON text."""
-    from .pipeline import candidates, view
-
-    return view(candidates(three(rows(spark, sf_dir, _THREE))), parse_config({}), YEAR).select("candidate_id", F.col("_json").alias("json"), F.array_join("_invalid", "; ").alias("errors"))
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged, scored and projected candidates."""
     return with_score(merge(three(rows(spark, sf_dir, _THREE)))).select("candidate_id", "full_name", F.array_join("emails", ",").alias("emails"), F.array_join("phones", ",").alias("phones"), "overall_confidence")
 
 
-QUERIES["pipeline_full"] = pipeline_full
+
+
+def _whole(m: DataFrame) -> DataFrame:
+    """All stages, with the default view."""
+    shown = project(with_score(m), parse_config({}))
+    shown = shown.withColumns({"_invalid": schema_errors(shown), "_warnings": semantic_warnings(shown, YEAR)})
+    joined = lambda c: F.array_join(c, ";")
+    return shown.select(
+        "candidate_id", "full_name", joined("emails").alias("emails"), joined("phones").alias("phones"), F.concat_ws(", ", "location.city", "location.region", "location.country").alias("place"), "headline", "links.linkedin", "links.github",
+        joined(F.transform("skills", lambda x: F.concat_ws("=", x["name"], x["confidence"].cast("string")))).alias("skills"), "overall_confidence", F.size("provenance").cast("bigint").alias("entries"), joined("sources_ingested").alias("sources"), joined("_invalid").alias("errors"), joined("_warnings").alias("warnings"),
+    )
+
+
+_SCORE = f"{round_(f'a * {WEIGHTS["emails"]} + b * {WEIGHTS["full_name"]} + c * {WEIGHTS["phones"]} + least(total / n, 1.0) * {WEIGHTS["skills"]} + 0.7 * {WEIGHTS["experience"]} + d * {WEIGHTS["location"]} + e * {WEIGHTS["headline"]}')}"
+merged_query(
+    "pipeline_full",
+    _whole,
+    f"""WITH {_MERGE}, {_SKILL_CTES}, po AS (SELECT p.*, o0.ord FROM prov p JOIN o0 ON o0.k = p.k AND o0.source = p.source),
+ f AS (SELECT k, {_AVG('emails', 'true')} AS a, {_AVG('full_name', 'true')} AS b, {_AVG('phones', 'true')} AS c, {_AVG('location', 'false')} AS d, {_AVG('headline', 'false')} AS e, count(*) AS entries FROM po GROUP BY k),
+ h AS (SELECT k, max(best) FILTER (WHERE field = 'full_name') AS full_name, max(best) FILTER (WHERE field = 'headline') AS headline, coalesce(max(best) FILTER (WHERE field = 'location'), '') AS place FROM won GROUP BY k),
+ u AS (SELECT k, string_agg(value, ';' ORDER BY value) FILTER (WHERE field = 'emails') AS emails, string_agg(value, ';' ORDER BY value) FILTER (WHERE field = 'phones') AS phones FROM multi GROUP BY k),
+ g AS (SELECT k, string_agg(source, ';' ORDER BY s) AS sources FROM o0 GROUP BY k)
+ SELECT {_ID} AS candidate_id, full_name, emails, phones, place, headline, 'https://linkedin.com/in/u' || k AS linkedin, CASE WHEN k % 2 = 0 THEN 'https://github.com/u' || k END AS github, skills, {_SCORE} AS overall_confidence, entries::BIGINT AS entries, sources, '' AS errors, '' AS warnings
+ FROM f JOIN sk4 USING (k) JOIN h USING (k) JOIN u USING (k) JOIN g USING (k)""",
+)
 _CUSTOM = [{"source": "full_name", "target": "candidate_name", "required": True}, {"source": "emails[0]", "target": "primary_email", "required": True}, {"source": "phones", "target": "phone_numbers", "transform": "join:; "}, {"source": "links.github", "target": "github_url"}, {"source": "skills", "target": "technical_skills", "filter": "confidence > 0.65", "transform": "pluck:name"}]
 view_query("pipeline_custom", _CUSTOM, f"WITH {_MERGE}, {_SKILL_CTES}, h AS (SELECT k, max(best) AS n FROM won WHERE field = 'full_name' GROUP BY k), g AS (SELECT k, string_agg(value, '; ' ORDER BY value) AS tel FROM multi WHERE field = 'phones' GROUP BY k), t AS (SELECT k, string_agg('\"' || value || '\"', ',' ORDER BY confidence DESC, o) AS t FROM sk3 WHERE confidence > 0.65 GROUP BY k) SELECT {_ID} AS candidate_id, '' AS errors, '{{\"candidate_id\":\"' || {_ID} || '\",\"candidate_name\":\"' || n || '\",\"primary_email\":\"user' || k || '@example.com\",\"phone_numbers\":\"' || tel || '\"' || CASE WHEN k % 2 = 0 THEN ',\"github_url\":\"https://github.com/u' || k || '\"' ELSE '' END || ',\"technical_skills\":[' || t || ']}}' AS json FROM h JOIN g USING (k) JOIN t USING (k)", "omit", True)
