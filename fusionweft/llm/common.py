@@ -22,15 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, a local folder is chosen and kept in the session.
+    Where the session names none, a master on one machine (`local`, as in tests) gets a local folder, the same
+    for the whole application; on a cluster that is an error, as executors would write where others cannot read.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="fusionweft-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if master.partition("[")[0] != "local":
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
+        application = spark.sparkContext.applicationId
+        if application not in _local:
+            _local[application] = "file://" + tempfile.mkdtemp(prefix="fusionweft-")
+        found = _local[application]
     return found.rstrip("/")
 
 
@@ -53,15 +62,39 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     """df written as Parquet to the shared folder and read again.
 
     It cuts the lineage: what follows never repeats the work before, and a lost executor costs no more than its own tasks.
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = out, path
+    return out
+
+
+#: The tables that stored() has written, by the DataFrames that read them.
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes tables of stored() that nothing will read any more."""
+    for df in frames:
+        _delete(df.sparkSession, _paths.pop(id(df))[1])
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this driver's operators have left in the shared folder. Results of operators are computed when they
+    are read, so call it once those have been written."""
+    for df, _ in list(_paths.values()):
+        drop(df)
 
 
 def literal_rows(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:
