@@ -4,19 +4,24 @@ A document is the set of hashes of its five-word shingles. Equal sets are one cl
 `POSITIONS` minwise tokens (for each of as many random orders of all shingles, the set's first one).
 
 The join branches classes in `TREES` independent trees. A node of a tree holds the classes that agree on the tokens chosen
-along its path; its children split it by one more minwise token, chosen by the node. Two sets of similarity s stay together
-at each branching with probability s. A node of at most `SMALL` classes is compared exhaustively. A larger one branches
-again, down to `DEPTH` tokens; its members are also compared with one of them, the node's pivot (a star, which links crowds
-of copies without comparing all their pairs). What is still together at the last depth agrees on so many random tokens that
-it is a crowd of copies of one text. Most of it is one component by then; every member outside the crowd's largest component
-is compared with all members of other components, in blocks (`rest`).
+along its path. A node of at most `SMALL` classes is compared exhaustively. A larger one is compared with one of its members,
+its pivot, and branches again by one or (a third of the nodes) two minwise tokens that the node chooses among those not yet
+used on its path. So two sets of similarity 0.75 have one common child on average: what they lose by tokens they do not share
+is made up by further branches, and they are not lost with depth.
 
-Pairs are first screened by their sizes (exactly) and by the share of minwise tokens they agree on, with a margin that a
-pair of similarity 0.75 misses with a probability below 1e-6. Those that remain are confirmed on the full sets, which are
-computed again from the texts of the documents concerned alone.
+After each level the pairs found are confirmed and connected. What is asked for are components, so nodes whose members are all
+connected already are done, and so are pairs of connected members: a crowd of copies ends after a level or two, however large it
+is. Texts that merely share a passage part with each level. What is left after `DEPTH` levels is compared in blocks: members
+outside the largest component of a node with all others in it, in cells of two blocks of bounded size (`rest`).
 
-Recall: a pair at the threshold is missed by a tree of depth d with probability 1 - 0.75 ** d; nodes of ordinary text are
-small at depth 1, so `TREES` = 20 trees miss it with probability 0.25 ** 20.
+Pairs are first screened by their sizes (exactly) and by the share of minwise tokens they agree on, less five standard
+deviations. Those that remain are confirmed on the full sets, which are computed again from the texts of the documents concerned
+alone. Confirming the first level's pairs, which are most of all, goes in two rounds: first each set with the one that it agrees
+with most, then only pairs that this left unconnected. So a set travels about twice, not once for each pair that it is in.
+
+Recall: a pair at the threshold is missed by a tree of depth d with probability 1 - 0.75 ** d at most; nodes of ordinary text are
+small at depth 1, so `TREES` = 20 trees miss it with probability 0.25 ** 20. Where a node of many different texts branches down
+to the last level, a tree keeps the pair with a probability of about a third. README has measured figures.
 
 Cases: null text, or text without words, has no shingle and is linked with nothing; fewer than five words: the whole
 sequence is the one shingle; very long texts are read whole; repeated rows and equal texts share a class; rows without
@@ -31,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest
 
@@ -39,15 +44,19 @@ from .common import ready, stored
 from .components import components
 
 WORDS, PERCENT = 5, 75
-TREES, DEPTH, POSITIONS = 20, 4, 64
+TREES, DEPTH, POSITIONS = 20, 10, 64
 SMALL = 12
-#: Members of a crowd that a task compares outsiders with.
-BLOCK = 256
-#: Least share of agreeing minwise tokens: 0.75 less five standard deviations at 64 tokens.
-SCREEN = 0.75 - 5 * (0.75 * 0.25 / POSITIONS) ** 0.5
+#: Members of a node, and shingles of them all, that a cell of `rest` holds of each side.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 22
 _ODD = (np.random.default_rng(20240229).integers(0, 1 << 63, POSITIONS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
+def screen(percent: int) -> float:
+    """Least share of agreeing minwise tokens: the threshold less five standard deviations at `POSITIONS` tokens."""
+    share = percent / 100
+    return share - 5 * (share * (1 - share) / POSITIONS) ** 0.5
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit numbers that spreads their bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -78,7 +87,7 @@ def minwise(grams: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, set (a 128-bit hash of the shingle set; null for the empty set), sig (POSITIONS 32-bit numbers)."""
+    """doc_id, text_hash, n_shingles, set (a 128-bit hash of the shingle set; null for the empty set), sig (POSITIONS 32-bit numbers)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -88,15 +97,32 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 sizes.append(len(grams))
                 sets.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
                 sigs.append(minwise(grams).tobytes() if len(grams) else None)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": sizes, "set": sets, "sig": sigs})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": sizes, "set": sets, "sig": sigs})
+
+    texts = ready(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return texts.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, set binary, sig binary")
+
 
-    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_shingles long, set binary, sig binary")
+def _token(position: Column) -> Column:
+    return F.substring("sig", position * 4 + 1, F.lit(4))
 
 
-def _branch(rows: DataFrame, depth: int) -> DataFrame:
-    """The children of nodes: node is hashed with the token at the position that the node (at depth 0: the tree) chooses."""
-    position = F.col("tree") if depth == 0 else TREES + F.pmod(F.xxhash64("node", F.lit(depth)), F.lit(POSITIONS - TREES)).cast("int")
-    return rows.withColumn("node", F.xxhash64("node", position, F.substring("sig", position * 4 + 1, F.lit(4))))
+def _roots(classes: DataFrame) -> DataFrame:
+    """The first nodes of all trees: rows of node, set."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
+    return classes.select("set", "sig", tree).select(F.xxhash64("tree", _token(F.col("tree"))).alias("node"), "set")
+
+
+def _children(rows: DataFrame) -> DataFrame:
+    """rows under the nodes that follow theirs. used: the positions whose tokens the path has been branched by."""
+    drawn = F.xxhash64("node", F.lit(1))
+    free = F.array_except(F.sequence(F.lit(TREES), F.lit(POSITIONS - 1)), F.col("used"))
+    at = F.pmod(drawn, F.size(free)).cast("int")
+    after = F.pmod(at + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.size(free) - 1), F.size(free)).cast("int")
+    chosen = F.when(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(3)) == 0, F.array(F.get(free, at), F.get(free, after))).otherwise(F.array(F.get(free, at)))
+    each = rows.withColumn("position", F.explode(chosen))
+    each = each.withColumns({"node": F.xxhash64("node", "position", _token(F.col("position"))), "used": F.array_append("used", F.col("position"))})
+    return each.drop("position", "size")
 
 
 def _nodes(rows: DataFrame) -> DataFrame:
@@ -106,41 +132,46 @@ def _nodes(rows: DataFrame) -> DataFrame:
 
 
 def _screened(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (structs a and b of set, n, sig) that sizes and minwise tokens do not rule out: columns a, b (the sets)."""
+    """Pairs (structs a and b of set, n, sig, root) that sizes and minwise tokens do not rule out: a, b (the sets), like (the share of tokens)."""
+    least = screen(percent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
             left, right = (np.frombuffer(b"".join(batch[c].tolist()), "<u4").reshape(-1, POSITIONS) for c in ("sa", "sb"))
-            yield batch.loc[(left == right).mean(axis=1) >= SCREEN - (0.75 - percent / 100), ["a", "b"]]
+            batch["like"] = (left == right).mean(axis=1)
+            yield batch.loc[batch["like"] >= least, ["a", "b", "like"]]
 
-    fits = pairs.where(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and a.set != b.set")
+    fits = pairs.where(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and a.root != b.root")
     flat = fits.select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.col("a.sig").alias("sa"), F.col("b.sig").alias("sb"))
-    screened = flat.mapInPandas(run, "a binary, b binary")
-    return screened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def branches(classes: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Pairs of sets (a, b) worth confirming, and the crowds that are left: node, size, set, n, sig.
-
-    classes: set, n, sig; a row for each set."""
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    root = _branch(classes.select("set", "sig", trees.alias("tree"), F.lit(0).cast("long").alias("node")), 0).select("node", "set")
-    rows = stored(_nodes(root), "together").join(classes, "set")  # few are left, so few signatures travel
-    item = F.struct("set", "n", "sig")
-    pairs = None
-    for depth in range(DEPTH):
-        rows = stored(rows if depth == 0 else _nodes(_branch(rows, depth)), "branch")
-        small = rows.where(f"size <= {SMALL}").groupBy("node").agg(F.sort_array(F.collect_list(item)).alias("m"))  # at most SMALL each
-        found = small.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.lit(SMALL))).alias("b"))
-        rows = rows.where(f"size > {SMALL}")
-        if depth == 0:
-            pivots = stored(rows.groupBy("node").agg(F.min_by(item, F.xxhash64("node", "set")).alias("a")), "pivots")
-            found = found.union(rows.join(pivots, "node").select("a", item.alias("b")))
-        pairs = found if pairs is None else pairs.union(found)
-        rows = rows.select("node", "size", "set", "n", "sig") if depth + 1 == DEPTH else rows.drop("size")
-    return stored(_screened(pairs, percent), "pairs"), rows
+    screened = flat.mapInPandas(run, "a binary, b binary, like double")
+    return screened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "like").distinct()
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) that a level compares: all of small nodes, and of larger ones the pivot with each member."""
+    item = F.struct("set", "n", "sig", "root")
+    small = rows.where(f"size <= {SMALL}").groupBy("node").agg(F.sort_array(F.collect_list(item)).alias("m"))  # at most SMALL each
+    found = small.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.lit(SMALL))).alias("b"))
+    large = rows.where(f"size > {SMALL}")
+    pivots = large.groupBy("node").agg(F.min_by(item, F.xxhash64("node", "set")).alias("a"))
+    return found.union(large.join(pivots, "node").select("a", item.alias("b")))
+
+
+def first_level(classes: DataFrame) -> DataFrame:
+    """node, set, n, sig, root, used, size: the classes that are not alone in a first node. classes: set, n, sig; a row for each set."""
+    met = stored(_nodes(_roots(classes)), "together").join(classes, "set")  # few are left, so few signatures travel
+    return met.withColumns({"root": F.col("set"), "used": F.array().cast("array<int>")})
+
+
+def next_level(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """What is left of a level once roots are known: larger nodes whose members are not all connected, under their children."""
+    named = roots.select(F.col("node").alias("set"), F.col("root").alias("new"))
+    large = rows.where(f"size > {SMALL}").join(named, "set", "left").withColumn("root", F.coalesce("new", "set")).drop("new")
+    told = lambda df: df.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("node", "size")
+    children = stored(_children(large.join(told(large).select("node"), "node", "left_semi")), "children")
+    return children.join(told(children), "node")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
@@ -170,58 +201,100 @@ def confirmed(pairs: DataFrame, grams: DataFrame, percent: int = PERCENT) -> Dat
 
     left = grams.select(F.col("set").alias("a"), F.col("grams").alias("ga"))
     right = grams.select(F.col("set").alias("b"), F.col("grams").alias("gb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInPandas(run, "a binary, b binary")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInPandas(run, "a binary, b binary")
+
+
+def linked(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """roots (node, root) of all that pairs (a, b, like) connect once they are confirmed."""
+    best = pairs.select(F.explode(F.array("a", "b")).alias("x"), F.struct("like", "a", "b").alias("p")).groupBy("x").agg(F.max("p").alias("p"))
+    first = stored(best.select("p.a", "p.b").distinct(), "forest")
+    roots = stored(components(confirmed(first, grams, percent)), "roots")
+    one, two = roots.toDF("a", "ra"), roots.toDF("b", "rb")
+    others = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
+    others = others.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    return _joined(roots, stored(confirmed(others, grams, percent), "confirmed"))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots of what links (a table) connect beside."""
+    return stored(components(roots.toDF("a", "b").union(links)), "roots") if links.limit(1).count() else roots
 
 
 def rest(crowds: DataFrame, roots: DataFrame, grams: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links between members of one crowd that are not connected yet: at least one for each pair of components that has any.
+    """Links between members of one node that are not connected yet: at least one for each pair of components that has any.
 
-    crowds: branches()'s second result. roots: node, root as of components()."""
+    crowds: node, set, n, sig. roots: node, root as of components()."""
     named = roots.select(F.col("node").alias("set"), "root")
-    rows = stored(crowds.join(named, "set", "left").withColumn("root", F.coalesce("root", "set")), "crowds")
-    parts = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("node").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("node", "main")
-    there = stored(rows.join(stored(mixed, "mixed"), "node").join(grams, "set"), "mixedrows")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = there.select("node", F.pmod(F.xxhash64("set"), blocks).cast("int").alias("block"), "set", "n", "sig", "root", "grams")
-    outside = there.where("root != main").select("node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "set", "n", "sig", "root", "grams")
+    rows = stored(crowds.select("node", "set", "n", "sig").join(named, "set", "left").withColumn("root", F.coalesce("root", "set")), "crowds")
+    parts = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    top = F.max_by(F.struct("root", "c", "s"), F.struct("c", "root")).alias("m")
+    mixed = parts.groupBy("node").agg(top, F.sum("c").alias("c"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.select("node", F.col("m.root").alias("main"), blocks(F.col("c"), F.col("s")).alias("wide"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("high"))
+    there = stored(rows.join(stored(mixed, "mixed"), "node").join(grams, "set").withColumn("out", F.col("root") != F.col("main")), "mixedrows")
+    own = lambda n: F.pmod(F.xxhash64("set"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    members = there.select("node", own(F.col("wide")).alias("x"), every(F.col("high")).alias("y"), "set", "n", "sig", "root", "grams", "out")
+    outside = there.where("out").select("node", every(F.col("wide")).alias("x"), own(F.col("high")).alias("y"), "set", "n", "sig", "root", "grams")
+    least = screen(percent)
 
     def compare(out: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(out) and len(have):
             sets, roots, n = have["set"].tolist(), have["root"].tolist(), have["n"].to_numpy()
+            twice = have["out"].to_numpy()
             sigs = np.frombuffer(b"".join(have["sig"].tolist()), "<u4").reshape(-1, POSITIONS)
             grams = [np.frombuffer(g, "<u8") for g in have["grams"].tolist()]
             for own, size, sig, root, full in zip(out["set"], out["n"], out["sig"], out["root"], out["grams"], strict=True):
-                fits = (100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & ((sigs == np.frombuffer(sig, "<u4")).mean(axis=1) >= SCREEN - (0.75 - percent / 100))
+                fits = (100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & ((sigs == np.frombuffer(sig, "<u4")).mean(axis=1) >= least)
                 met, whole = {root}, np.frombuffer(full, "<u8")
                 for k in np.flatnonzero(fits):
-                    if roots[k] not in met and _alike(whole, grams[k], percent):
+                    # two members outside meet in two cells or both ways in one; the one way is enough
+                    if roots[k] not in met and not (twice[k] and sets[k] < own) and _alike(whole, grams[k], percent):
                         met.add(roots[k])
                         found.append((min(own, sets[k]), max(own, sets[k])))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return outside.groupBy("node", "block").cogroup(members.groupBy("node", "block")).applyInPandas(compare, "a binary, b binary").distinct()
+    return outside.groupBy("node", "x", "y").cogroup(members.groupBy("node", "x", "y")).applyInPandas(compare, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+    """doc_id, text_hash (Spark's xxhash64), n_shingles, component_id, kept for every row of docs."""
     signed = stored(signatures(docs, words), "signed")
     named = signed.where("set is not null and doc_id is not null")
     classes = stored(named.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
-    pairs, crowds = branches(classes.select("set", "n", "sig"), percent)
-    crowds = stored(crowds, "crowds")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(crowds.select("set")).distinct()
+    rows = stored(first_level(classes.select("set", "n", "sig")), "level")
+    pairs = tested = stored(_screened(_met(rows), percent), "pairs")
+    # the sets of all that deeper levels and `rest` can ask for
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(rows.where(f"size > {SMALL}").select("set")).distinct()
     grams = stored(shingle_sets(docs, classes.join(wanted, "set", "left_semi").select(F.col("rep").alias("doc_id")), words), "grams")
-    links = stored(confirmed(pairs, grams, percent), "confirmed")
-    roots = stored(components(links), "roots")
-    more = stored(rest(crowds, roots, grams, percent), "more")
-    if more.limit(1).count():
-        roots = stored(components(links.union(more)), "roots")
+    roots = linked(pairs, grams, percent)
+    for _ in range(DEPTH - 1):
+        rows = stored(next_level(rows, roots), "level")
+        pairs = stored(_screened(_met(rows), percent).join(tested, ["a", "b"], "left_anti"), "pairs")
+        roots = _joined(roots, stored(confirmed(pairs, grams, percent), "confirmed"))
+        tested = tested.union(pairs)
+        if not rows.where(f"size > {SMALL}").limit(1).count():
+            break
+    else:
+        roots = _joined(roots, stored(rest(next_level(rows, roots), roots, grams, percent), "more"))
     reps = classes.select(F.col("set").alias("node"), "rep")
     smallest = stored(roots.join(reps, "node").groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
     of_set = roots.join(smallest, "root").select(F.col("node").alias("set"), "component_id")
     of_class = stored(classes.select("set", "rep").join(of_set, "set", "left").select("set", F.coalesce("component_id", "rep").alias("component_id")), "ofclass")
-    linked = named.join(of_class, "set").select("doc_id", "n_shingles", "component_id")
-    alone = signed.where("set is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    shown = named.join(of_class, "set").select("doc_id", "text_hash", "n_shingles", "component_id")
+    alone = signed.where("set is null or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    return shown.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that of the smallest doc_id, and of rows that share it the one
+    with the smallest text hash. Rows that repeat a doc_id and its text are one document, of which one row stays. Rows without doc_id
+    are nobody's near duplicates, but of those that repeat a text one stays as well."""
+    near = near_duplicates(docs, words, percent).where("doc_id is not null").select("doc_id", "text_hash", "component_id")
+    several = near.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("x"), F.max(F.struct("doc_id", "text_hash")).alias("y")).where("x != y")
+    gone = near.join(several.select("component_id", "x"), "component_id").where(F.struct("doc_id", "text_hash") != F.col("x")).select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__text")).distinct()
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": F.xxhash64("text")})
+    left = rows.join(stored(gone, "gone"), (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__text")), "left_anti")
+    same = Window.partitionBy("__id", "__hash").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return left.withColumn("__copy", F.row_number().over(same)).where("__copy = 1").drop("__id", "__hash", "__copy")
