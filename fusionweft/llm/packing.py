@@ -9,7 +9,7 @@ the size of the corpus. Executors then turn the rank of a piece among those of i
 
 Cases: null text is an empty document (one end token); very long texts are cut into pieces of the capacity; repeated rows
 are packed as often as they occur; an empty table gives an empty result; other columns are ignored; null doc_ids are
-packed like any others.
+packed like any others. Equal pieces (of repeated rows) are told apart by `copy`, which counts them from 0.
 """
 
 from __future__ import annotations
@@ -166,45 +166,70 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
 
 
-def _exact(left: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that sum to gap; longer ones first."""
-    if left[gap] > 0:
-        return (gap,)
-    there = left[: gap + 1] > 0
-    there[0] = False
+class Sums:
+    """The index of exact complements: for each sum the pairs of lengths that make it, longer first lengths first.
 
-    def pair(total: int, more: np.ndarray) -> tuple[int, int] | None:
-        low = np.arange(1, total // 2 + 1)
-        for a in low[more[low] & more[total - low]][:4]:
-            if 2 * a != total or left[a] >= 2:
-                return int(total - a), int(a)
+    Lengths only become fewer while a plan is made, so a pair that has run out is passed over for good; each pair is passed
+    once at most, however many gaps are looked up. A triple is a first length and a pair that makes the rest; all first
+    lengths are tried.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left, capacity = left, len(left) - 1
+        lengths = np.flatnonzero(left)
+        low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at, a in enumerate(lengths.tolist()):
+            more = lengths[at : np.searchsorted(lengths, capacity - a, side="right")]
+            low.append(np.full(len(more), a))
+            high.append(more)
+        low, high = np.concatenate(low), np.concatenate(high)
+        order = np.argsort(low + high, kind="stable")  # of one sum, the shortest low (longest high) comes first
+        self.low, self.high = low[order], high[order]
+        edges = np.searchsorted((low + high)[order], np.arange(capacity + 2))
+        self.next, self.end = edges[:-1].copy(), edges[1:]
+
+    def _there(self, k: int) -> bool:
+        a, b = self.low[k], self.high[k]
+        return self.left[a] > (1 if a == b else 0) and self.left[b] > 0
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """Two available lengths that sum to total."""
+        k, end = int(self.next[total]), int(self.end[total])
+        while k < end and not self._there(k):
+            k += 1
+        self.next[total] = k
+        return (int(self.high[k]), int(self.low[k])) if k < end else None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """Three available lengths that sum to total, the longest first length that there is."""
+        firsts = np.flatnonzero(self.left[: total + 1])[::-1]
+        for a in firsts[self.next[total - firsts] < self.end[total - firsts]].tolist():
+            rest = total - a
+            if self.pair(rest) is None:
+                continue
+            self.left[a] -= 1  # the first pair may need the one a that is there, so later ones are looked at as well
+            k = next((k for k in range(int(self.next[rest]), int(self.end[rest])) if self._there(k)), None)
+            self.left[a] += 1
+            if k is not None:
+                return a, int(self.high[k]), int(self.low[k])
         return None
 
-    if found := pair(gap, there):
-        return found
-    width = 1 << (2 * gap + 1).bit_length()
-    spectrum = np.fft.rfft(there, width)
-    sums = np.rint(np.fft.irfft(spectrum * spectrum, width)[: gap + 1]) > 0  # the index of pair sums
-    firsts = np.flatnonzero(there)
-    for a in firsts[sums[gap - firsts]][::-1][:8]:
-        left[a] -= 1
-        found = pair(gap - int(a), (left[: gap + 1] > 0) & (np.arange(gap + 1) > 0))
-        left[a] += 1
-        if found:
-            return (int(a), *found)
-    return None
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that sum to gap."""
+        return (gap,) if self.left[gap] > 0 else self.pair(gap) or self.triple(gap)
 
 
 def plan(histogram: np.ndarray) -> list[tuple[dict[int, int], int]]:
     """Patterns (how often each length occurs in a sequence) and how many sequences follow each. histogram[n]: pieces of length n."""
     left, capacity, out = histogram.astype(np.int64).copy(), len(histogram) - 1, []
     left[0] = 0
+    sums = Sums(left)
     while (lengths := np.flatnonzero(left)).size:
         longest = int(lengths[-1])
         used, gap = {longest: 1}, capacity - longest
         left[longest] -= 1
         while gap:
-            if found := _exact(left, gap):
+            if found := sums.exact(gap):
                 new = found
             else:
                 fits = np.flatnonzero(left[: gap + 1])
@@ -237,7 +262,7 @@ def places(patterns: list[tuple[dict[int, int], int]], capacity: int) -> dict[in
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """pieces() with sequence_id and offset: the place of each piece in as few sequences as the plan can make.
+    """pieces() with copy, sequence_id and offset: the place of each piece in as few sequences as the plan can make.
 
     vocabulary is the path of a `tokenizers` file that executors can open.
     """
@@ -252,8 +277,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     firsts = celled.groupBy("length", "_cell").agg(F.count(F.lit(1)).alias("_n")).select("length", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("length", "_cell").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = celled.withColumn("_at", F.row_number().over(inside) - 1).join(firsts, ["length", "_cell"])
-    ranked = ranked.select(*cut.columns, (F.col("_before") + F.col("_at")).alias("_rank"))
+    alike = Window.partitionBy("length", "_cell", "doc_id", "piece", "ids_crc32").orderBy("_at")
+    ranked = celled.withColumn("_at", F.row_number().over(inside) - 1).withColumn("copy", (F.row_number().over(alike) - 1).cast("int")).join(firsts, ["length", "_cell"])
+    ranked = ranked.select(*cut.columns, "copy", (F.col("_before") + F.col("_at")).alias("_rank"))
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -269,5 +295,5 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
             batch["doc_id"] = batch["doc_id"].astype("Int64")
             yield batch.assign(sequence_id=sequence, offset=offset)
 
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long"
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", copy int, sequence_id long, offset long"
     return ranked.mapInPandas(put, kind)
