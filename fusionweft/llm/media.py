@@ -4,8 +4,13 @@ Mu-law and A-law samples are expanded by tables of 256 numbers that are built fr
 all blocks of a batch at once: numpy steps through the samples of a block, and each step handles that sample of every
 block. Decoded audio is resampled to a common rate by linear interpolation and stored as 16-bit PCM.
 
-Cases: null or empty payloads become one unit of zero bytes; very long ones are handled in bounded stretches; equal
-payloads give equal media; damaged containers raise ValueError (decode) or give null features (decode_media).
+Files are written to a table in the shared folder and read back from there; sounds are a column of the result, an array of
+stretches of PCM, and are stored where the result is stored.
+
+Cases: null or empty payloads become one unit of zero bytes; a long file is decoded, resampled and described in stretches of
+about `STRETCH` bytes, so memory follows a file's length only by the file and its PCM themselves (a cell of Spark holds 2 GB, so
+payloads end at 250 MB); equal payloads (repeated rows) give equal media; damaged files raise ValueError (decode) or give one row of nulls (decode_media); null keys stay null;
+an empty table gives empty tables; other columns are ignored, and a computed column whose name the key has gets `_` appended.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready
+from .common import ready, stored
 
 UNIT = 64
 RATE, TARGET_RATE = 8000, 16000
@@ -31,6 +36,8 @@ _ORDER = ("mulaw", "alaw", "adpcm")
 #: An ADPCM block: 4 bytes of header, then UNIT bytes of two samples each.
 BLOCK = 4 + UNIT
 SAMPLES = 1 + 2 * UNIT
+#: Bytes of media that are decoded at once.
+STRETCH = 1 << 20
 
 
 def mulaw_table() -> np.ndarray:
@@ -123,19 +130,39 @@ def payload_of(media: bytes) -> bytes:
     return np.frombuffer(data, np.uint8).reshape(-1, block)[:, 4:].tobytes() if codec == "adpcm" else data
 
 
-def resample(pcm: np.ndarray, rate: int, target: int) -> np.ndarray:
-    """Linear interpolation, rounded to 16 bits; the last sample is held."""
-    if rate == target or not len(pcm):
-        return pcm.astype(np.int16)
+def resample(pcm: np.ndarray, after: int, begin: int, total: int, rate: int, target: int) -> np.ndarray:
+    """Linear interpolation, rounded down, of samples `begin` and on of a sound of `total` samples. after is the sample that follows."""
+    if rate == target:
+        return pcm
+    wide = np.append(pcm, np.int16(after)).astype(np.int64)
     if target == 2 * rate:
         out = np.empty(2 * len(pcm), np.int16)
         out[0::2] = pcm
-        wide = pcm.astype(np.int32)
-        out[1:-1:2] = wide[:-1] + wide[1:] >> 1
-        out[-1] = pcm[-1]
+        out[1::2] = wide[:-1] + wide[1:] >> 1
         return out
-    at = np.arange(len(pcm) * target // rate) * (rate / target)
-    return np.rint(np.interp(at, np.arange(len(pcm)), pcm)).astype(np.int16)
+    first, last = -(-begin * target // rate), min(-(-(begin + len(pcm)) * target // rate), total * target // rate)
+    at, part = np.divmod(np.arange(first, max(first, last)) * rate, target)
+    at -= begin
+    return ((wide[at] * (target - part) + wide[at + 1] * part) // target).astype(np.int16)
+
+
+def _expanded(codec: str, data: np.ndarray, block: int) -> np.ndarray:
+    if codec == "adpcm":
+        return decode_adpcm(data.reshape(-1, block)).ravel()
+    return (_MULAW if codec == "mulaw" else _ALAW)[data]
+
+
+def stretches(media: bytes, target: int = TARGET_RATE, stretch: int = STRETCH) -> Iterator[np.ndarray]:
+    """16-bit PCM at the target rate of one file, a stretch after the other; at least one."""
+    codec, rate, raw, block = parse(media)
+    data = np.frombuffer(raw, np.uint8)
+    step = max(1, stretch // block) * block
+    total = len(data) // block * (2 * (block - 4) + 1 if codec == "adpcm" else 1)
+    begin, now = 0, _expanded(codec, data[:step], block)
+    for at in range(step, max(len(data), 1) + step, step):
+        more = _expanded(codec, data[at : at + step], block) if at < len(data) else now[-1:]
+        yield resample(now, int(more[0]) if len(more) else 0, begin, total, rate, target)
+        begin, now = begin + len(now), more
 
 
 def decode(files: list[bytes], target: int = TARGET_RATE) -> list[np.ndarray]:
@@ -147,14 +174,14 @@ def decode(files: list[bytes], target: int = TARGET_RATE) -> list[np.ndarray]:
         if codec == "adpcm":
             together.setdefault(block, []).append(k)
         else:
-            out[k] = (_MULAW if codec == "mulaw" else _ALAW)[np.frombuffer(data, np.uint8)]
+            out[k] = _expanded(codec, np.frombuffer(data, np.uint8), block)
     for block, members in together.items():
         rows = [np.frombuffer(parts[k][2], np.uint8).reshape(-1, block) for k in members]
         pcm = decode_adpcm(np.concatenate(rows))
         ends = np.cumsum([len(r) for r in rows])
         for k, part in zip(members, np.split(pcm, ends[:-1]), strict=True):
             out[k] = part.ravel()
-    return [resample(pcm, parts[k][1], target) for k, pcm in enumerate(out)]
+    return [resample(pcm, int(pcm[-1]) if len(pcm) else 0, 0, len(pcm), parts[k][1], target) for k, pcm in enumerate(out)]
 
 
 def codec_for(payload: bytes) -> str:
@@ -166,61 +193,121 @@ def padded(payload: bytes) -> bytes:
     return payload + b"\0" * (-len(payload) % UNIT if payload else UNIT)
 
 
-def feature(codec: str, pcm: np.ndarray, target: int = TARGET_RATE) -> str:
-    """Codec, duration, level, peak, zero crossings and a checksum of the stored PCM."""
-    wide = pcm.astype(np.int64)
-    power = int((wide * wide).sum())
-    crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    peak = int(max(abs(int(pcm.min())), abs(int(pcm.max())))) if len(pcm) else 0
-    return f"{codec};rate={target};samples={len(pcm)};rms={int((power / max(1, len(pcm))) ** 0.5)};peak={peak};crossings={crossings};pcm_crc32={zlib.crc32(pcm.astype('<i2').tobytes())}"
+class Levels:
+    """What is told of a sound: codec, duration, level, peak, zero crossings and a checksum, added up over its stretches."""
 
+    def __init__(self) -> None:
+        self.count = self.power = self.peak = self.crossings = self.crc = 0
+        self.below: bool | None = None
 
-def store_payloads(frame: DataFrame, key: str, payload: str, with_media: bool = True, stretch: int = 4 << 20) -> DataFrame:
-    """Each row's payload (binary or string) stored as telephony audio, read back and described.
+    def add(self, pcm: np.ndarray) -> None:
+        if not len(pcm):
+            return
+        wide = pcm.astype(np.int64)
+        below = pcm < 0
+        self.crossings += int(np.count_nonzero(below[1:] != below[:-1])) + (self.below is not None and self.below != below[0])
+        self.below = bool(below[-1])
+        self.count += len(pcm)
+        self.power += int((wide * wide).sum())
+        self.peak = max(self.peak, -int(wide.min()), int(wide.max()))
+        self.crc = zlib.crc32(pcm.astype("<i2").tobytes(), self.crc)
 
-    Returns the key, codec, n_bytes, the media file and its PCM at TARGET_RATE (both left out unless with_media: they can
-    be several times the input), and the checks: payload_bytes, payload_sha256 and tail_crc32 of what was read back,
-    media_bytes, media_sha256, feature.
-    """
+    def feature(self, codec: str, target: int) -> str:
+        rms = int((self.power / max(1, self.count)) ** 0.5)
+        return f"{codec};rate={target};samples={self.count};rms={rms};peak={self.peak};crossings={self.crossings};pcm_crc32={self.crc}"
+
+
+def feature(codec: str, pcm: np.ndarray, target: int = TARGET_RATE) -> str:
+    levels = Levels()
+    levels.add(pcm)
+    return levels.feature(codec, target)
+
+
+def encode_media(frame: DataFrame, key: str, payload: str) -> DataFrame:
+    """k (the key), n_bytes, media: each row's payload (binary or string), padded, as a file of telephony audio."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys, values, at = batch["k"].tolist(), batch["v"].tolist(), 0
-            while at < len(keys):
-                rows, files, size = [], [], 0
-                while at < len(keys) and (size < stretch or not rows):
-                    raw = bytes(values[at]) if values[at] is not None else b""
-                    full = padded(raw)
-                    codec = codec_for(full)
-                    files.append(encode(full, codec))
-                    rows.append((keys[at], codec, len(raw)))
-                    size += len(full)
-                    at += 1
-                sounds, out = decode(files), []
-                for (k, codec, n), media, pcm in zip(rows, files, sounds, strict=True):
-                    back = payload_of(media)
-                    row = (k, codec, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(codec, pcm))
-                    out.append((*row, media, pcm.astype("<i2").tobytes()) if with_media else row)
-                yield pd.DataFrame(out, columns=names).astype({names[0]: "Int64"})
-
-    names = [key, "codec", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media", "pcm"] * with_media
-    kind = f"`{key}` long, codec string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, pcm binary" * with_media
-    return ready(frame).select(F.col(key).cast("long").alias("k"), F.col(payload).cast("binary").alias("v")).mapInPandas(run, kind)
+            rows, size = [], 0
+            for k, value in zip(batch["k"].tolist(), batch["v"].tolist(), strict=True):
+                raw = bytes(value) if value is not None else b""
+                full = padded(raw)
+                rows.append((k, len(raw), encode(full, codec_for(full))))
+                size += len(full)
+                if size > 4 * STRETCH:
+                    yield pd.DataFrame(rows, columns=["k", "n_bytes", "media"]).astype({"k": "Int64"})
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["k", "n_bytes", "media"]).astype({"k": "Int64"})
 
+    return ready(frame).select(F.col(key).cast("long").alias("k"), F.col(payload).cast("binary").alias("v")).mapInPandas(run, "k long, n_bytes long, media binary")
 
-def decode_media(frame: DataFrame, key: str, media: str, target: int = TARGET_RATE) -> DataFrame:
-    """PCM of stored media files: the key, codec, pcm (16-bit little-endian at the target rate) and feature; nulls where the file is null or damaged."""
+
+_TOLD = {"codec": "string", "payload_bytes": "long", "payload_sha256": "string", "tail_crc32": "long", "media_bytes": "long", "media_sha256": "string", "feature": "string"}
+
+
+def _sounds(files: DataFrame, target: int) -> DataFrame:
+    """Rows of k, n_bytes, media as rows of k, n_bytes, pcm and what _TOLD names."""
+    names = ["k", "n_bytes", "pcm", *_TOLD]
+
+    def told(media: bytes, sound: Iterator[np.ndarray]) -> tuple:
+        levels, pcm = Levels(), []
+        for some in sound:
+            levels.add(some)
+            pcm.append(some.astype("<i2").tobytes())
+        back = payload_of(media)
+        codec = parse(media)[0]
+        return pcm, codec, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), levels.feature(codec, target)
+
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("k", "n_bytes", "payload_bytes", "tail_crc32", "media_bytes")})
+
+    def together(some: list[tuple]) -> pd.DataFrame:
+        pcm = decode([media for _, _, media in some], target)
+        return table([(k, n, *told(media, iter([sound]))) for (k, n, media), sound in zip(some, pcm, strict=True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for k, v in zip(batch["k"].tolist(), batch["v"].tolist(), strict=True):
+            some, size = [], 0
+            for k, n, value in zip(batch["k"].tolist(), batch["n_bytes"].tolist(), batch["media"].tolist(), strict=True):
                 try:
-                    codec = parse(bytes(v))[0]
-                    pcm = decode([bytes(v)], target)[0]
-                    out.append((k, codec, pcm.astype("<i2").tobytes(), feature(codec, pcm, target)))
+                    media = bytes(value)
+                    _, _, data, block = parse(media)
+                    if len(data) % block:
+                        raise ValueError("a block is cut short")
                 except (ValueError, TypeError, struct.error):
-                    out.append((k, None, None, None))
-            yield pd.DataFrame(out, columns=[key, "codec", "pcm", "feature"]).astype({key: "Int64"})
+                    yield table([(k, n, *[None] * (1 + len(_TOLD)))])
+                    continue
+                if len(media) > STRETCH:
+                    yield table([(k, n, *told(media, stretches(media, target)))])
+                    continue
+                some.append((k, n, media))
+                size += len(media)
+                if size > STRETCH:
+                    yield together(some)
+                    some, size = [], 0
+            if some:
+                yield together(some)
+
+    kind = "k long, n_bytes long, pcm array<binary>, " + ", ".join(f"{n} {t}" for n, t in _TOLD.items())
+    return ready(files).mapInPandas(run, kind)
+
 
-    return ready(frame).select(F.col(key).cast("long").alias("k"), F.col(media).cast("binary").alias("v")).mapInPandas(run, f"`{key}` long, codec string, pcm binary, feature string")
+def _named(frame: DataFrame, key: str) -> DataFrame:
+    return frame.select(*[F.col(c).alias(key if c == "k" else c + "_" if c == key else c) for c in frame.columns])
+
+
+def decode_media(frame: DataFrame, key: str, media: str, target: int = TARGET_RATE) -> DataFrame:
+    """The sounds of media files: the key, pcm (stretches of 16-bit little-endian samples at the target rate), codec, payload_bytes,
+    payload_sha256, tail_crc32, media_bytes, media_sha256 and feature; nulls where the file is null or damaged."""
+    files = frame.select(F.col(key).cast("long").alias("k"), F.lit(None).cast("long").alias("n_bytes"), F.col(media).cast("binary").alias("media"))
+    return _named(_sounds(files, target).drop("n_bytes"), key)
+
+
+def store_payloads(frame: DataFrame, key: str, payload: str, target: int = TARGET_RATE) -> tuple[DataFrame, DataFrame]:
+    """Each row's payload (binary or string) stored as telephony audio, read back and decoded.
+
+    Returns the files, a table in the shared folder (the key, n_bytes, media), and their sounds, which are made from the files as
+    they are read back (the key, n_bytes and what decode_media() gives).
+    """
+    files = stored(encode_media(frame, key, payload), "media", "zstd")
+    return _named(files, key), _named(_sounds(files, target), key)

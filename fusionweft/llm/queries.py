@@ -29,7 +29,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = media.store_payloads(table(spark, sf_dir, "documents"), "doc_id", "text", with_media=False)
-    return done.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec")
+    _, sounds = media.store_payloads(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return sounds.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "pcm")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
