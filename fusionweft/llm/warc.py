@@ -11,7 +11,8 @@ chain does not reach stands inside a payload and is rejected. A chain that does
 
 Cases: null payloads are empty; null urls have no target line; line ends in urls are percent-encoded; payloads under
 LEAST_SHARED bytes are always responses; a page without id is written with an empty id and comes back with null, as a
-response; rows repeated with the same id are all written, the first as the response; an empty table gives an empty archive.
+response; rows repeated with the smallest id of a payload are all responses, other repeated rows are all revisits to it; very
+long payloads share files with fewer others; an empty table gives an empty archive; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ MAGIC = b"WARC/1.0\r\n"
 #: Fixed value of the format: the profile of a revisit to an identical payload.
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
-#: Most records of a file. Readers take a file as a whole, so files must stay small.
-FILE_RECORDS = 2000
+#: Most records of a file, and the bytes that it may hold before compression. Readers take a file as a whole, so files must
+#: stay small: a record of more than `LARGE_RECORD` bytes goes to files of their own kind, which hold as few records as its bytes
+#: ask for, one at least.
+FILE_RECORDS, FILE_BYTES, LARGE_RECORD = 2000, 128 << 20, 1 << 20
 _NAME = "urn:page:"
 
 
@@ -78,8 +81,14 @@ def record(kind: Column) -> Column:
 def write(records: DataFrame, path: str | None = None) -> str:
     """Writes plan_records()'s rows as archives and returns their folder."""
     path = path or fresh_path(records.sparkSession, "warc")
-    lines = records.select(record(F.col("kind")).cast("string").alias("value"))  # the bytes stay as they are
-    lines.write.option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    large = F.col("size") > LARGE_RECORD
+    longest = {r[0]: r[1] for r in records.groupBy(large).agg(F.max("size")).collect()}  # two rows at most
+    for some, most in longest.items():
+        lines = records.where(large if some else ~large).select(record(F.col("kind")).cast("string").alias("value"))  # the bytes stay as they are
+        number = max(1, min(FILE_RECORDS, FILE_BYTES // (most + 1024)))
+        lines.write.mode("append").option("compression", "gzip").option("lineSep", "\n").option("maxRecordsPerFile", number).text(path)
+    if not longest:
+        records.select(F.lit("").alias("value")).write.text(path)
     return path
 
 
