@@ -5,6 +5,9 @@ a mixture: expectation-maximisation estimates which share of its n-grams each la
 compared by penalised likelihood (each further language must earn `PENALTY` times the logarithm of the text's length), and
 the largest share of the chosen set is the prediction; that share is the score.
 
+A further component, noise, gives every n-gram the same probability. The share that it takes beside the chosen languages
+tells how much of a text none of them explains; `foreign` texts are those of which it explains more than half.
+
 Cases: null text, or text without a letter: `und`, score 0. Without any training text every other document is `und` too.
 Very long texts are read whole. Ties of shares go to the language that sorts first. Repeated rows get equal results;
 null doc_ids are predicted like any others; an empty table gives an empty result; other columns are ignored.
@@ -16,8 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ready
 
@@ -29,8 +34,9 @@ SMOOTHING = 0.1
 UNKNOWN = "und"
 #: Texts are counted in stretches of so many characters, so that memory does not follow the longest one.
 STRETCH = 1 << 18
-#: Most language values that may be learned; more are an error, not a reason to leave some out.
-MOST_LANGUAGES = 2000
+#: Most language values that may be learned; more are an error, not a reason to leave some out. It bounds the broadcast model
+#: to 65 MB.
+MOST_LANGUAGES = 500
 
 
 def _points(text: str) -> np.ndarray:
@@ -41,18 +47,20 @@ _ascii = np.array([ord(chr(c)) if chr(c).isalpha() else 32 for c in range(128)],
 
 
 def grams(text: str) -> np.ndarray:
-    """Counts by hashed n-gram of the text's letters; all else separates words."""
+    """Counts by hashed n-gram of the text's letters; all else separates words. Each n-gram is counted in the stretch that it
+    begins in, so the result does not depend on `STRETCH`."""
     total = np.zeros(1 << BITS, np.int64)
-    for at in range(0, len(text), STRETCH):
-        points = _points(text[max(0, at - 2) : at + STRETCH])
-        points = np.where(points < 128, _ascii[np.minimum(points, 127)], points)
-        points = np.concatenate(([np.uint32(32)], points, [np.uint32(32)])).astype(np.uint32)
-        two = points[:-1] * np.uint32(0x9E3779B1) ^ points[1:] * np.uint32(0x85EBCA6B)
+    points = np.concatenate(([np.uint32(32)], _points(text), [np.uint32(32)])).astype(np.uint32)
+    for at in range(0, len(points) - 1, STRETCH):
+        own = points[at : at + STRETCH + 2]
+        own = np.where(own < 128, _ascii[np.minimum(own, 127)], own)
+        two = own[:-1] * np.uint32(0x9E3779B1) ^ own[1:] * np.uint32(0x85EBCA6B)
         two = (two ^ two >> np.uint32(15)) * np.uint32(0x2C1B3C6D)
-        three = (two[:-1] ^ points[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x297A2D39)
-        blank = (points[:-1] == 32) & (points[1:] == 32)
+        three = (two[:-1] ^ own[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x297A2D39)
+        blank = (own[:-1] == 32) & (own[1:] == 32)
         keep = ~(blank[:-1] | blank[1:])
-        total += np.bincount(np.concatenate((two[~blank], three[keep])) >> np.uint32(32 - BITS), minlength=1 << BITS)
+        found = np.concatenate((two[:STRETCH][~blank[:STRETCH]], three[keep]))
+        total += np.bincount(found >> np.uint32(32 - BITS), minlength=1 << BITS)
     return total
 
 
@@ -101,15 +109,16 @@ def _mix(chance: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
     return share, float(n @ np.log(chance @ share))
 
 
-def infer(text: str | None, names: list[str], logs: np.ndarray) -> tuple[str, float, dict[str, float]]:
-    """The prediction, its score and the shares of the chosen languages. logs: a row for each n-gram."""
+def infer(text: str | None, names: list[str], logs: np.ndarray) -> tuple[str, float, dict[str, float], float]:
+    """The prediction, its score, the shares of the chosen languages, and the share of noise beside them. logs: a row for each n-gram."""
     if not names or not text or not any(map(str.isalpha, text)):
-        return UNKNOWN, 0.0, {}
+        return UNKNOWN, 0.0, {}, 1.0
     counts = grams(text)
     at = np.flatnonzero(counts)
     n = counts[at].astype(np.float64)
     log = logs[at].astype(np.float64)
-    chance = np.exp(log - log.max(1, keepdims=True))
+    top = log.max(1, keepdims=True)
+    chance = np.exp(log - top)
     cost = PENALTY * np.log(n.sum() + 1)
     share, _ = _mix(chance, n)
     order = np.argsort(-share, kind="stable")
@@ -120,11 +129,13 @@ def infer(text: str | None, names: list[str], logs: np.ndarray) -> tuple[str, fl
             break
         best, chosen, shares = fitted - k * cost, order[:k], part
     ranked = sorted(zip(shares.tolist(), [names[i] for i in chosen], strict=True), key=lambda x: (-round(x[0], 9), x[1]))
-    return ranked[0][1], float(min(1.0, max(0.0, ranked[0][0]))), {name: s for s, name in ranked}
+    flat = np.exp(np.minimum(-BITS * np.log(2) - top[:, 0], 700.0))
+    noise = _mix(np.column_stack((chance[:, chosen], flat)), n)[0][-1]
+    return ranked[0][1], float(min(1.0, max(0.0, ranked[0][0]))), {name: s for s, name in ranked}, float(min(1.0, max(0.0, noise)))
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """docs' doc_id and text with lang_pred, score and shares (map of language to share)."""
+    """docs' doc_id with lang_pred, score, shares (map of language to share) and noise (a share as well)."""
     names, logs = model
     sent = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T))  # languages x 2 ** BITS floats, no more
 
@@ -134,9 +145,31 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             got = [infer(text, names, logs) for text in batch["text"].tolist()]
             out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]})
             out["shares"] = pd.Series([g[2] for g in got], dtype=object)
-            yield out
+            yield out.assign(noise=[g[3] for g in got])
+
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, shares map<string,double>, noise double")
+
+
+def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], most_noise: float = 0.5) -> DataFrame:
+    """docs in a language that the model knows, with `lang` set to the prediction; all other columns stay.
+
+    Rejected are texts that get `und`, and foreign ones: those of which noise explains more than most_noise. Rows are judged
+    one by one, so repeated rows fare alike and null doc_ids do no harm.
+    """
+    names, logs = model
+    sent = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(logs.T))
+    at = docs.columns.index("text")
+    kind = T.StructType([*docs.schema.fields, T.StructField("__lang", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        logs = sent.value
+        for batch in batches:
+            got = [infer(text, names, logs) for text in batch.column(at).to_pylist()]
+            found = pa.array([None if g[0] == UNKNOWN or g[3] > most_noise else g[0] for g in got], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "__lang"])
 
-    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, shares map<string,double>")
+    told = ready(docs).mapInArrow(run, kind).where("__lang is not null")
+    return told.select(*[F.col("__lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def held_out(doc_id: str = "doc_id"):
