@@ -4,9 +4,10 @@ A partial partition is a vector of the bytes that each shard has so far. Differe
 the largest spread and adds them in opposite order, the largest parts of one to the smallest of the other, until one is
 left. Groups of equal texts are the units. Units of more than a `LARGE`-th of a shard's fair part, of which there are at most
 `LARGE` for each shard, go to the driver. All others fall into buckets by hash; each bucket is differenced in a task of its
-own (in stretches of `STRETCH` units, whose results are differenced again). The buckets' vectors, at most `MOST_BUCKETS` of
-them, are then differenced on the driver together with the large units: those have the largest spreads and are placed first,
-and the buckets even out what they leave. A unit's shard is read back down that tree.
+own (in stretches of `STRETCH` units, whose results are differenced again). While there are more than `TOGETHER` buckets,
+tasks difference as many of their vectors each, which leaves fewer, larger buckets. The last vectors are differenced on the
+driver together with the large units: those have the largest spreads and are placed first, and the buckets even out what
+they leave. A unit's shard is read back down that tree.
 
 Cases: a null text has no bytes and is a group of its own kind (not the same as an empty text); very long texts weigh their
 bytes; ties are broken by the text's hash, so the result does not depend on the order of rows; repeated rows are placed as
@@ -27,8 +28,8 @@ from .common import ready, stored
 
 SHARDS = 40
 OVERHEAD = 16
-#: Documents for each bucket, and the bounds on the number of buckets.
-PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 5000, 64, 8192
+#: Documents for each bucket, the least number of buckets, and how many buckets are differenced together.
+PER_BUCKET, LEAST_BUCKETS, TOGETHER = 5000, 64, 4096
 STRETCH = 20_000
 LARGE = 256
 #: Cells of a shard in which slots are numbered, so that no task numbers a whole shard.
@@ -84,6 +85,23 @@ def difference_units(sizes: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
+def _fewer(parted: DataFrame, vectors: DataFrame, buckets: int, shards: int) -> tuple[DataFrame, DataFrame, int]:
+    """Units (a, b, bucket, part) and vectors (bucket, part, size) after tasks have differenced `TOGETHER` buckets each."""
+    left = -(-buckets // TOGETHER)
+
+    def fold(batch: pd.DataFrame) -> pd.DataFrame:
+        names, row = np.unique(batch["bucket"].to_numpy(), return_inverse=True)
+        sums = np.zeros((len(names), shards), np.int64)
+        sums[row, batch["part"].to_numpy()] = batch["size"].to_numpy()
+        label, _ = difference(sums)
+        return batch.assign(to=label[row, batch["part"].to_numpy()].astype(np.int32))
+
+    grouped = vectors.withColumn("group", F.pmod("bucket", F.lit(left)))
+    turned = stored(grouped.groupBy("group").applyInPandas(fold, "bucket int, part int, size long, group int, to int"), "turned")
+    units = parted.join(turned, ["bucket", "part"]).select("a", "b", F.col("group").alias("bucket"), F.col("to").alias("part"))
+    return stored(units, "units"), turned.groupBy(F.col("group").alias("bucket"), F.col("to").alias("part")).agg(F.sum("size").alias("size")), left
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot of every document."""
     spark = docs.sparkSession
@@ -92,7 +110,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD) -> Da
     crc = F.crc32(F.coalesce(text, F.lit(b"")))
     rows = stored(ready(docs).select(F.col("doc_id").cast("long"), size.alias("size"), crc.alias("text_crc32"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")), "sizes")
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).head()
-    buckets = int(min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-whole["n"] // PER_BUCKET))))
+    buckets = max(LEAST_BUCKETS, -(-whole["n"] // PER_BUCKET))
     edge = whole["size"] // (shards * LARGE)
     groups = stored(rows.groupBy("a", "b").agg(F.sum("size").alias("size")).withColumn("bucket", F.pmod(F.col("a"), F.lit(buckets)).cast("int")), "groups")
     large = groups.where(F.col("size") > edge).select("a", "b", "size").orderBy(F.desc("size"), "a", "b").collect()  # at most shards x LARGE rows
@@ -102,9 +120,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD) -> Da
         return batch.assign(part=difference_units(batch["size"].to_numpy(), shards).astype(np.int32))
 
     parted = stored(groups.where(F.col("size") <= edge).groupBy("bucket").applyInPandas(split, "a long, b long, size long, bucket int, part int"), "parts")
+    vectors = parted.groupBy("bucket", "part").agg(F.sum("size").alias("size"))
+    while buckets > TOGETHER:
+        parted, vectors, buckets = _fewer(parted, vectors, buckets, shards)
     sums = np.zeros((len(large) + buckets, shards), np.int64)
     sums[: len(large), 0] = [r["size"] for r in large]
-    for row in parted.groupBy("bucket", "part").agg(F.sum("size").alias("size")).toLocalIterator():  # buckets x shards rows
+    for row in vectors.toLocalIterator():  # buckets x shards rows
         sums[len(large) + row["bucket"], row["part"]] = row["size"]
     label, _ = difference(sums)
     turns = spark.createDataFrame(pd.DataFrame({"bucket": np.repeat(np.arange(buckets), shards), "part": np.tile(np.arange(shards), buckets), "shard": label[len(large) :].ravel()}), "bucket int, part int, shard int")
