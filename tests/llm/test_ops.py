@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import zlib
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fusionweft.llm import langid, linededup, media, mixing, neardup, packing, queries, sharding, topk, urlfilter, warc
+from fusionweft.llm import common, langid, linededup, media, mixing, neardup, packing, queries, sharding, topk, urlfilter, warc
 
 from . import brute
 
@@ -90,7 +91,7 @@ def test_nulls_and_repeated_rows(spark):
     assert packing.pack(df, queries.vocabulary()).count() == 4
     assert sharding.shard(df, 3).count() == 4
     assert langid.predict(df, langid.fit(df.withColumn("lang", F.lit("en")))).count() == 4
-    assert media.store_payloads(df, "doc_id", "text").count() == 4
+    assert media.store_payloads(df, "doc_id", "text")[1].count() == 4
     assert mixing.mix(df.withColumn("source", F.lit(None).cast("string"))).count() == 4
 
 
@@ -171,12 +172,46 @@ def test_packing_plan_uses_exact_complements():
 
 
 def test_media_round_trips_and_matches_contract(docs, none):
-    for r in media.store_payloads(docs, "doc_id", "text").collect():
-        text = dict(pairs(docs))[r["doc_id"]]
+    files, sounds = media.store_payloads(docs, "doc_id", "text")
+    stored, texts = {r["doc_id"]: bytes(r["media"]) for r in files.collect()}, dict(pairs(docs))
+    assert len(stored) == len(texts)
+    for r in sounds.collect():
+        text, file = texts[r["doc_id"]], stored[r["doc_id"]]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == brute.digests(text)
-        assert media.payload_of(bytes(r["media"])) == brute.payload(text)
-        assert r["media_bytes"] == len(r["media"])
-    assert media.store_payloads(none, "doc_id", "text").count() == 0
+        assert media.payload_of(file) == brute.payload(text)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+        pcm = np.concatenate([np.frombuffer(bytes(x), "<i2") for x in r["pcm"]])
+        assert (pcm == media.decode([file])[0]).all() and r["feature"] == media.feature(r["codec"], pcm)
+    assert all(t.count() == 0 for t in media.store_payloads(none, "doc_id", "text"))
+
+
+@pytest.mark.parametrize("codec", ["mulaw", "alaw", "adpcm"])
+@pytest.mark.parametrize("target", [16000, 11025, 6000])
+def test_long_sounds_are_the_same_in_stretches(codec, target):
+    file = media.encode(np.random.default_rng(4).integers(0, 256, 64 * 900, np.uint8).tobytes(), codec)
+    whole = media.decode([file], target)[0]
+    parts = list(media.stretches(file, target, 7000))
+    assert len(parts) > 5 and (np.concatenate(parts) == whole).all()
+    levels = media.Levels()
+    for part in parts:
+        levels.add(part)
+    assert levels.feature(codec, target) == media.feature(codec, whole, target)
+    raw = media.decode([file], 8000)[0].astype(int)
+    at = np.arange(len(whole)) * 8000
+    near, after = raw[at // target], np.append(raw, raw[-1])[at // target + 1]
+    assert (whole == (near * (target - at % target) + after * (at % target)) // target).all()
+
+
+def test_payloads_over_a_stretch(spark):
+    texts = {k: "".join(random.Random(k).choices("abc é\n", k=2_500_000 + k)) for k in range(3)}  # the codec follows from the bytes
+    df = spark.createDataFrame(list(texts.items()), "codec long, text string")
+    files, sounds = media.store_payloads(df, "codec", "text")
+    stored = {r["codec"]: bytes(r["media"]) for r in files.collect()}
+    for r in sounds.collect():
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == brute.digests(texts[r["codec"]])
+        assert len(r["pcm"]) > 1
+        assert b"".join(map(bytes, r["pcm"])) == media.decode([stored[r["codec"]]])[0].astype("<i2").tobytes()
+        assert r["codec_"] == media.parse(stored[r["codec"]])[0]
 
 
 def test_adpcm_equals_a_sample_by_sample_decoder():
@@ -200,8 +235,9 @@ def test_companding_tables_and_damage(spark):
     assert sorted(set(media.mulaw_table().tolist()))[0] == -32124 and media.mulaw_table()[255] == 0
     assert media.alaw_table().max() == 32256 and media.alaw_table()[0xD5] == 8
     files = [(1, bytearray(media.encode(b"\x01" * 64, "alaw"))), (2, bytearray(b"RIFF")), (3, None)]
+    files += [(4, bytearray(media.encode(b"\x01" * 64, "adpcm")[:-30]))]
     got = {r["k1"]: r["codec"] for r in media.decode_media(spark.createDataFrame(files, "k1 long, m binary"), "k1", "m").collect()}
-    assert got == {1: "alaw", 2: None, 3: None}
+    assert got == {1: "alaw", 2: None, 3: None, 4: None}
 
 
 def test_warc_reads_back_and_rejects_magic_in_payloads(spark):
@@ -241,14 +277,22 @@ def test_mixture_finds_both_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     names, logs = langid.fit_on_training_rows(docs)
     texts = {r["lang"]: r["text"] for r in docs.where("n_chars between 1500 and 3000").collect()}
-    lang, score, shares = langid.infer(texts["de"] + " " + texts["es"], names, np.ascontiguousarray(logs.T))
-    assert {"de", "es"} <= set(shares) and 0.2 < score < 0.8
+    lang, score, shares, noise = langid.infer(texts["de"] + " " + texts["es"], names, np.ascontiguousarray(logs.T))
+    assert {"de", "es"} <= set(shares) and 0.2 < score < 0.8 and noise < 0.2
 
 
 def test_mixing_meets_weights_and_limits(docs, none):
-    exponent, weights = mixing.solve([1000, 10, 100], None, None, 2.0)
-    assert max(mixing.repeats([1000, 10, 100], weights, None)) == pytest.approx(2.0) and min(mixing.repeats([1000, 10, 100], weights, None)) == pytest.approx(1.0)
-    assert mixing.entropy(mixing.solve([1000, 10, 100], None, 1.0, None)[1]) == pytest.approx(1.0)
+    spark = docs.sparkSession
+    totals = mixing.Totals(spark.createDataFrame([("a", 1000), ("b", 10), ("c", 100), (None, 0)], "__source string, __tokens long"))
+    assert mixing.solve(totals) == pytest.approx(1 - math.log(2) / math.log(100))
+    reached = mixing.solve(totals, None, 1.0, None)
+    assert mixing.entropy(reached, *totals.sums([reached])[0]) == pytest.approx(1.0)
+    for budget in (50, 2000):
+        x = mixing.solve(totals, budget, None, 1.5)
+        shares = [t / 1110 for t in (1000, 10, 100)]
+        times = [budget * s**x / sum(y**x for y in shares) / (s * 1110) for s in shares]
+        assert max(times) <= 1.5 + 1e-9 or x == 1.0
+        assert x == 0.0 or max(times) == pytest.approx(1.5) or x == 1.0
     skewed = docs.withColumn("source", F.when(F.col("doc_id") % 10 == 0, "rare").otherwise("hot"))
     rows = mixing.mix(skewed).collect()
     used = Counter(r["doc_id"] for r in rows)
@@ -310,3 +354,235 @@ def test_components_of_paths_stars_and_cycles(spark, monkeypatch, per_task):
     want = {i: 100 for i in range(100, 221)} | {k: 300 for k in [*range(300, 360), 500]} | {601: 601, 602: 601, 603: 601}
     assert found == want
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(monkeypatch):
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+    Context.master = "local[2]"
+    assert common.shared_dir(Session).startswith("file://") and common.shared_dir(Session) == common.shared_dir(Session)
+
+
+def test_tables_on_the_way_can_be_dropped(spark, docs):
+    import os
+
+    kept = common.stored(docs, "x")
+    path = common._paths[id(kept)][1].removeprefix("file://")
+    assert os.path.isdir(path)
+    common.drop(kept)
+    assert not os.path.exists(path)
+
+
+def test_repeated_queries_and_vectors(spark):
+    rows = [(50, [1.0, 0.5]), (50, [1.0, 0.5]), (50, [-1.0, 0.0])] + [(i, [i / 10, 0.1]) for i in range(1, 9)] + [(7, [0.7, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.search(df, df.where("vec_id % 50 = 0"), "vec_id", "embedding").orderBy("query_id", "score", "rank").collect()]
+    first = [r for r in got if r[3] > 0]
+    assert sorted((r[1], r[2]) for r in first) == [(1, 8), (2, 7), (3, 7), (4, 6), (5, 5)]
+    assert sorted((r[1], r[2]) for r in got if r[3] < 0) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)] and len(got) == 10
+
+
+def test_scores_beyond_64_bits(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1e10, 1.0]), (2, [1e10, 2.0]), (3, [-1e30, 0.0]), (4, [0.0, 0.5]), (5, [1e15, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.search(df, df.where("vec_id = 0"), "vec_id", "embedding").orderBy("rank").collect()]
+    top = (1 << 63) - 1
+    assert got == [(1, top), (2, top), (5, top), (4, 256 * 128), (3, -1 << 63)]
+
+
+def test_packing_tries_every_first_length():
+    """The longest lengths leave no pair; the triple among the shortest ones fills the gap."""
+    left = np.zeros(4097, np.int64)
+    for b in (1, 3, 7, 9, 19, 21, 25, 27, 55):
+        left[[4096 - 2 * b, b]] = 1
+    left[[1500, 1396, 1200]] = 1
+    assert sorted(packing.Sums(left).exact(4096)) == [1200, 1396, 1500]
+
+
+def test_exact_complements_equal_brute_force():
+    from itertools import combinations_with_replacement
+
+    r = random.Random(6)
+    for _ in range(60):
+        left = np.zeros(61, np.int64)
+        for _ in range(r.randint(1, 14)):
+            left[r.randint(1, 60)] += r.randint(1, 2)
+        sums = packing.Sums(left)
+        for gap in r.choices(range(1, 61), k=40):
+            want = any(sum(c) == gap and all(left[x] >= c.count(x) for x in c) for k in (1, 2, 3) for c in combinations_with_replacement(np.flatnonzero(left).tolist(), k))
+            found = sums.exact(gap)
+            assert (found is not None) == want
+            if found:
+                assert sum(found) == gap and all(left[x] >= found.count(x) for x in found)
+                for x in found:
+                    left[x] -= 1
+
+
+def test_copies_of_a_piece_are_told_apart(spark):
+    df = spark.createDataFrame([(1, "a b c")] * 3 + [(1, "other text"), (None, "a b c")], "doc_id long, text string")
+    rows = packing.pack(df, queries.vocabulary()).collect()
+    assert sorted((r["doc_id"] is None, r["ids_crc32"] == rows[0]["ids_crc32"], r["copy"]) for r in rows).count((True, True, 0)) <= 1
+    copies = Counter((r["doc_id"], r["ids_crc32"], r["copy"]) for r in rows)
+    assert set(copies.values()) == {1} and sorted(c for i, _, c in copies if i == 1) == [0, 0, 1, 2]
+
+
+def test_language_counts_have_no_seams(monkeypatch):
+    text = "".join(random.Random(2).choices("abcdé \n中x", k=719_430))
+    whole = langid.grams(text)
+    for stretch in (1 << 25, 1000, 99_991):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        assert (langid.grams(text) == whole).all()
+    short = text[:3000]
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    counts = langid.grams(short)
+    assert {int(i): int(counts[i]) for i in np.flatnonzero(counts)} == brute.ngrams(short, langid.BITS)
+
+
+def test_language_equals_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names, logs = langid.fit_on_training_rows(docs)
+    counts = {n: Counter() for n in names}
+    for r in docs.collect():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            counts[r["lang"]].update(brute.ngrams(r["text"], langid.BITS))
+    for name, row in zip(names, logs):
+        total = sum(counts[name].values()) + langid.SMOOTHING * (1 << langid.BITS)
+        for bucket in (*list(counts[name])[:300], 5):
+            assert row[bucket] == pytest.approx(math.log((counts[name][bucket] + langid.SMOOTHING) / total), abs=1e-5)
+    texts = {r["doc_id"]: r["text"][:400] for r in docs.collect()[:40]}
+    texts |= {1000: texts[3] + " " + texts[17], 1001: None, 1002: "12 3", 1003: "zzzz qqqq"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in langid.predict(df, (names, logs)).collect():
+        lang, score = brute.language(texts[r["doc_id"]], names, logs, langid.ROUNDS, langid.PENALTY, langid.BITS)
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-6)
+
+
+def test_identified_rejects_what_the_model_does_not_know(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    model = langid.fit_on_training_rows(docs)
+    odd = [(900, "中文的文字在這裡沒有人讀得懂這是一個例子", "en", "s", 1), (901, "xkqjw zvqxj qqzzk wwxqk zxqvk jjqkx", "en", "s", 1), (902, None, "en", None, 1), (903, "1 2 3", None, "s", 1)]
+    right = docs.limit(30).withColumn("lang", F.lit(None).cast("string"))
+    frame = right.union(spark.createDataFrame(odd, docs.schema)).withColumn("__lang2", F.lit("own"))
+    got = {r["doc_id"]: r for r in langid.identified(frame, model).collect()}
+    assert set(got) == {r["doc_id"] for r in right.collect()}
+    truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    assert sum(r["lang"] == truth[i] for i, r in got.items()) >= 29 and all(r["__lang2"] == "own" for r in got.values())
+    assert langid.identified(frame.limit(0), model).count() == 0
+    assert langid.identified(frame, ([], np.zeros((0, 1 << langid.BITS)))).count() == 0
+
+
+@pytest.mark.parametrize("count, parts, stretch", [(3000, 40, 20_000), (37, 5, 20_000), (400, 7, 10**6)])
+def test_differencing_equals_whole_partial_partitions(count, parts, stretch):
+    sizes = np.sort(np.random.default_rng(count).integers(1, 10**6, count))[::-1]
+    loads = np.bincount(sharding.difference_units(sizes, parts), weights=sizes, minlength=parts)
+    assert np.sort(loads).astype(int).tolist() == brute.differenced(sizes.tolist(), parts)
+
+
+def test_sharding_with_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PER_BUCKET", 4)
+    monkeypatch.setattr(sharding, "LEAST_BUCKETS", 4)
+    monkeypatch.setattr(sharding, "TOGETHER", 6)
+    monkeypatch.setattr(sharding, "LARGE", 16)
+    r = random.Random(9)
+    rows = [(i, "x" * r.randint(0, 400)) for i in range(900)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    load, homes = Counter(), defaultdict(set)
+    for x in got:
+        load[x["shard"]] += x["size"]
+        homes[rows[x["doc_id"]][1]].add(x["shard"])
+    assert len(got) == 900 and all(len(h) == 1 for h in homes.values())
+    assert max(load.values()) - min(load.values()) < 200
+
+
+@pytest.mark.parametrize("repeats", [2.0, 1.3, 1.0])
+def test_mixing_equals_a_replay(docs, repeats):
+    frame = docs.where("text is not null").withColumn("source", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).when(F.col("doc_id") % 7 < 3, "rare").otherwise("hot"))
+    places = [F.xxhash64(F.lit(8), "source", F.pmod("__deal", F.lit(mixing.LEAST_BLOCKS)).cast("int"), F.lit(e)) for e in range(3)]
+    told = frame.withColumns(mixing._hashes(7)).select("doc_id", "source", mixing.words(F.col("text")).alias("n"), F.pmod("__deal", F.lit(mixing.LEAST_BLOCKS)).alias("b"), "__row", F.array(*places).alias("p"))
+    exponent, want = brute.mixed([tuple(r) for r in told.collect()], repeats)
+    rows = mixing.mix(frame, max_repeats=repeats).collect()
+    assert Counter(r["doc_id"] for r in rows) == {k: v for k, v in want.items() if v}
+    assert all(r["__exponent"] == pytest.approx(exponent) for r in rows)
+    assert {(r["doc_id"], r["__epoch"]) for r in rows} == {(k, e) for k, v in want.items() for e in range(v)}
+
+
+def test_mixing_without_ids_spreads_by_text(spark):
+    rows = [(None, f"word{i} and more", "a") for i in range(90)] + [(i, "some words here", "b") for i in range(10)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), budget=200, max_repeats=None).groupBy("source").count().collect()
+    assert {r["source"]: r["count"] for r in got}["a"] >= 30
+
+
+def test_archives_of_long_and_repeated_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    monkeypatch.setattr(warc, "LARGE_RECORD", 1 << 18)
+    r = random.Random(3)
+    rows = [(i, "u", "".join(r.choices("abcdef\r\n", k=r.choice((10, 5000, 300_000, 700_000))))) for i in range(24)]
+    rows += [(5, "u", rows[5][2]), (30, "u", rows[5][2]), (30, "u", rows[5][2])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("kind", F.lit("own")).withColumn("id", F.lit(1)).repartition(2)
+    folder = warc.write(warc.plan_records(pages))
+    got = warc.read(spark, folder).collect()
+    assert Counter((x["id"], x["digest"]) for x in got) == Counter((i, hashlib.sha256(h.encode()).hexdigest()) for i, _, h in rows)
+    large = len(rows[5][2]) >= 100
+    assert Counter(x["kind"] for x in got if x["id"] in (5, 30)) == ({"response": 2, "revisit": 2} if large else {"response": 4})
+    files = spark.read.format("binaryFile").load(folder).count()
+    assert files > sum(len(h) for _, _, h in rows) >> 20
+
+
+def test_extra_columns_with_clashing_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", "<p>")], "page_id long, url string, html string")
+    for name in ("host", "path", "rule", "score", "verdict", "_says", "id", "kind", "size", "digest", "payload"):
+        pages = pages.withColumn(name, F.lit("own"))
+    assert urlfilter.judge(pages, queries.RULES, urlfilter.labelled_urls(spark)).head()["verdict"] == "allow"
+    assert warc.read(spark, warc.write(warc.plan_records(pages))).count() == 1
+    vectors = spark.createDataFrame([(50, [1.0]), (51, [2.0])], "vec_id long, embedding array<double>")
+    for name in ("id", "q", "row", "b", "c", "query_id", "rank", "score"):
+        vectors = vectors.withColumn(name, F.lit("own"))
+    assert topk.search(vectors, vectors.where("vec_id = 50"), "vec_id", "embedding").count() == 1
+    docs = spark.createDataFrame([(1, "the one that is here", "en", "s")], "doc_id long, text string, lang string, source string")
+    for name in ("lang_pred", "score", "shares", "set", "sig", "text_hash", "length", "_cell", "piece", "k", "v", "media", "shard", "size", "a", "tokens"):
+        docs = docs.withColumn(name, F.lit("own"))
+    assert langid.predict(docs, langid.fit(docs)).count() == 1 and neardup.one_of_each(docs).head()["sig"] == "own"
+    assert packing.pack(docs, queries.vocabulary()).count() == 1 and mixing.mix(docs).head()["tokens"] == "own"
+    assert media.store_payloads(docs, "doc_id", "text")[1].count() == 1 and sharding.shard(docs, 2).count() == 1
+
+
+def test_urls_repeated_long_and_learned(spark):
+    labelled = urlfilter.labelled_urls(spark)
+    assert labelled.count() <= urlfilter.MOST_LABELLED
+    assert urlfilter.held_out_accuracy(labelled) > 0.9
+    urls = ["http://x.net/" + "a/" * 40_000, "http://www.thorind.example.net/de/4821", "http://www.thorind.example.net/de/4821", "http://free-casino.example.com/en/12"]
+    got = [r["verdict"] for r in urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), (), labelled).orderBy("page_id").collect()]
+    assert got[1:] == ["allow", "allow", "block"]
+
+
+def test_one_passage_shared_by_different_texts(spark):
+    """Texts with more than half in common, none of which are near duplicates, and two that are: only those are linked."""
+    r = random.Random(12)
+    common_, rows = [f"c{i}" for i in range(120)], []
+    for i in range(300):
+        rows.append((i, " ".join(common_ + [f"w{r.randrange(10**6)}" for _ in range(45)])))
+    rows += [(300, rows[7][1] + " one more"), (301, rows[150][1].replace("c60", "d60"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {x["doc_id"]: x["component_id"] for x in neardup.near_duplicates(df).collect()}
+    assert found == {i: c for i, (_, c) in brute.near(rows).items()} and found[300] == 7 and found[301] == 150
+
+
+def test_one_of_each_group_stays(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base, "a"), (1, base, "a"), (1, base, "b"), (2, base + " x", "a"), (3, "other words of a text that stands alone", "a"), (3, base + " y", "a"), (None, base, "a"), (None, base, "a"), (4, None, "a"), (4, None, "a"), (5, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = neardup.one_of_each(df).collect()
+    assert Counter((x["doc_id"], (x["text"] or "")[:5]) for x in got) == {(1, "w0 w1"): 1, (3, "other"): 1, (None, "w0 w1"): 1, (4, ""): 1, (5, ""): 1}

@@ -1,5 +1,6 @@
 """The registered queries and the pipeline over the whole smallest tables, against SQL or brute force."""
 
+import hashlib
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from fusionweft.llm import queries
+from fusionweft.llm import langid, media, queries
 
 from . import brute
 
@@ -94,7 +95,12 @@ def check_packing(rows, times, texts):
 def test_op6(spark, sf_dir, docs):
     texts = dict(docs)
     for r in queries.op6_media(spark, sf_dir).collect():
+        full = brute.payload(texts[r["doc_id"]])
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == brute.digests(texts[r["doc_id"]])
+        file = media.encode(full, r["codec"])
+        assert (r["media_bytes"], r["media_sha256"]) == (len(file), hashlib.sha256(file).hexdigest())
+        pcm = media.decode([file])[0]
+        assert b"".join(map(bytes, r["pcm"])) == pcm.astype("<i2").tobytes() and r["feature"] == media.feature(r["codec"], pcm)
 
 
 def test_op8(spark, sf_dir, con):
@@ -143,9 +149,12 @@ def test_pipeline(spark, sf_dir, con, docs, tmp_path):
     columns = {n: (i, t, lang, s) for i, t, lang, s in con.sql("select doc_id, text, lang, source from documents").fetchall() for n in [i]}
     frame, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), dict(docs)
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, frame, sf_dir)
+        frame_before, out = frame, stage(spark, frame, sf_dir)
         if name == "packing":
-            check_packing(out.collect(), times, before)
+            rows = out.collect()
+            check_packing(rows, times, before)
+            assert all(zlib.crc32(b"".join(x.to_bytes(4, "little") for x in r["ids"])) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in rows)
+            assert all({r["copy"] for r in rows if r["doc_id"] == i} == set(range(n)) for i, n in list(times.items())[:50])
             break
         assert out.columns == frame.columns
         out.write.parquet(f"{tmp_path}/{name}")
@@ -153,7 +162,9 @@ def test_pipeline(spark, sf_dir, con, docs, tmp_path):
         rows = frame.collect()
         kept, times = {r["doc_id"]: r["text"] for r in rows}, Counter(r["doc_id"] for r in rows)
         if name == "language":
-            want = {i: t for i, t in before.items() if t and any(map(str.isalpha, t))}
+            told = {r["doc_id"]: r for r in langid.predict(frame_before, langid.fit_on_training_rows(frame_before)).collect()}
+            want = {i: t for i, t in before.items() if told[i]["lang_pred"] != "und" and told[i]["noise"] <= 0.5}
+            assert all(r["lang"] == told[r["doc_id"]]["lang_pred"] for r in rows)
         elif name == "line_dedup":
             gone = brute.repeated_lines(sorted(before.items()))
             want = {i: "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in before.items()}
@@ -164,7 +175,31 @@ def test_pipeline(spark, sf_dir, con, docs, tmp_path):
             want = before
             assert max(times.values()) <= 2
         assert kept == want, name
-        assert all((r["lang"], r["source"]) == columns[r["doc_id"]][2:] for r in rows)
+        assert all(r["source"] == columns[r["doc_id"]][3] for r in rows)
         if name != "mixing":
             assert max(times.values()) == 1
         before = kept
+
+
+def test_pipeline_stages_with_odd_rows(spark, sf_dir):
+    """Nulls, empty texts, repeated rows, a foreign text and an empty table through every stage."""
+    frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    some = frame.where("doc_id < 40")
+    odd = spark.createDataFrame([(500, None, None, None, 0), (501, "", "en", "s", 0), (502, "中文的文字在這裡沒有人讀得懂", "en", "s", 9), (None, "The and that of to in there with for", "en", None, 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = some.union(some.where("doc_id < 3")).union(odd.select(*[odd[c].cast(frame.schema[c].dataType) for c in frame.columns]))
+    none = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out, empty = stage(spark, docs, sf_dir), stage(spark, none, sf_dir)
+        assert empty.count() == 0 and empty.columns == out.columns, name
+        rows = out.collect()
+        ids = Counter(r["doc_id"] for r in rows)
+        if name == "language":
+            assert not {500, 501, 502} & set(ids) and ids[1] == 2 and ids[None] == 1
+        elif name == "line_dedup":
+            assert ids[1] == 2 and ids[500] == 1
+        elif name == "near_dedup":
+            assert max(ids.values()) == 1 and {500, 501, 502, None} <= set(ids)
+        elif name == "mixing":
+            assert set(ids) == {r["doc_id"] for r in docs.collect()} and ids[1] >= 2
+        else:
+            assert sum(r["piece"] == 0 for r in rows) == docs.count()
