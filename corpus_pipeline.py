@@ -19,34 +19,47 @@ def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is found: null texts and texts without a letter."""
-    predicted = langid.predict(docs, langid.fit_on_training_rows(docs))
-    rejected = predicted.where(F.col("lang_pred") == langid.UNKNOWN).select(F.col("doc_id").alias("__doc")).distinct()
-    lettered = F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}")
-    joined = docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(F.col("__doc")), "left")
-    return _like(docs, joined.where(F.col("__doc").isNull() | lettered))
+    """Keeps documents in a language that the model knows and sets `lang` to the prediction.
+
+    Rejected are null texts, texts without a letter, and texts that the mixture of languages explains worse than noise does
+    (foreign scripts and gibberish). Row by row: repeated rows and null doc_ids fare like any others; an empty table stays empty.
+    """
+    return langid.identified(docs, langid.fit_on_training_rows(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Deletes later repeated runs of lines; documents of which nothing is left go."""
+    """Deletes later repeated runs of lines; documents of which nothing is left go.
+
+    A null text has no lines and stays; repeated rows count as one place and keep their lines alike; an empty table stays empty.
+    """
     done = linededup.dedup_lines(docs)
     return _like(docs, done.where((F.col("__removed") == 0) | (F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != "")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
-    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__doc"), "left_anti")
+    """Keeps one document of each group of near duplicates.
+
+    Texts without words are linked with nothing and stay; of rows that repeat a doc_id and its text one stays; an empty table
+    stays empty.
+    """
+    return _like(docs, neardup.one_of_each(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of small sources, up to twice; every document is used."""
+    """Repeats documents of small sources, up to twice; every document is used.
+
+    A document's copies are equal rows; the packing stage numbers them. A null source is one of its own; a source without any
+    token keeps each document once; an empty table stays empty.
+    """
     return _like(docs, mixing.mix(docs, max_repeats=mixing.MAX_REPEATS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into sequences of 4096 tokens."""
-    return packing.pack(docs, vocabulary(), with_ids=False)
+    """Packs all documents into sequences of 4096 tokens: token ids, place, and which copy of a document a piece belongs to.
+
+    A null text is an empty document; repeated rows are packed as often as they occur; an empty table gives an empty result.
+    """
+    return packing.pack(docs, vocabulary())
 
 
 STAGES = [("language", language), ("line_dedup", lines), ("near_dedup", near_duplicates), ("mixing", mixed), ("packing", packed)]
