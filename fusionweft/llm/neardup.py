@@ -10,18 +10,20 @@ used on its path. So two sets of similarity 0.75 have one common child on averag
 is made up by further branches, and they are not lost with depth.
 
 After each level the pairs found are confirmed and connected. What is asked for are components, so nodes whose members are all
-connected already are done, and so are pairs of connected members: a crowd of copies ends after a level or two, however large it
-is. Texts that merely share a passage part with each level. What is left after `DEPTH` levels is compared in blocks: members
-outside the largest component of a node with all others in it, in cells of two blocks of bounded size (`rest`).
+connected already are done, and so are pairs of connected members. A node in which all but `OUTSIDE` members are one component is
+a crowd of copies: the few outside are compared with all members, in cells of bounded size (`rest`), and the node is done too.
+So a crowd of copies ends after its first node, however large it is. Only nodes of many different texts, such as those that share a passage, branch, and these part with each
+level. What is left of them after `DEPTH` levels is compared in the same cells.
 
 Pairs are first screened by their sizes (exactly) and by the share of minwise tokens they agree on, less five standard
 deviations. Those that remain are confirmed on the full sets, which are computed again from the texts of the documents concerned
 alone. Confirming the first level's pairs, which are most of all, goes in two rounds: first each set with the one that it agrees
 with most, then only pairs that this left unconnected. So a set travels about twice, not once for each pair that it is in.
 
-Recall: a pair at the threshold is missed by a tree of depth d with probability 1 - 0.75 ** d at most; nodes of ordinary text are
-small at depth 1, so `TREES` = 20 trees miss it with probability 0.25 ** 20. Where a node of many different texts branches down
-to the last level, a tree keeps the pair with a probability of about a third. README has measured figures.
+Recall: of a pair at the threshold, let f be the share of tokens that many other texts have as well. Its first nodes are small with
+probability 0.75 - f, so `TREES` = 20 trees miss it there with probability (0.25 + f) ** 20: never in ordinary text, in 1 case of
+300 where half of the tokens are common. Those meet in larger nodes too; `DEEP_TREES` = 8 trees go on with them, and a tree keeps a
+pair with a probability of 0.75 in a crowd and of a third after ten levels. README has measured figures.
 
 Cases: null text, or text without words, has no shingle and is linked with nothing; fewer than five words: the whole
 sequence is the one shingle; very long texts are read whole; repeated rows and equal texts share a class; rows without
@@ -40,14 +42,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest
 
-from .common import ready, stored
+from .common import drop, ready, stored
 from .components import components
 
 WORDS, PERCENT = 5, 75
 TREES, DEPTH, POSITIONS = 20, 10, 64
 SMALL = 12
+#: Members outside a node's largest component that are compared with all others in place of branching, and how many trees go on
+#: beyond their first nodes.
+OUTSIDE, DEEP_TREES = 1024, 8
 #: Members of a node, and shingles of them all, that a cell of `rest` holds of each side.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 22
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
 _ODD = (np.random.default_rng(20240229).integers(0, 1 << 63, POSITIONS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -108,9 +113,9 @@ def _token(position: Column) -> Column:
 
 
 def _roots(classes: DataFrame) -> DataFrame:
-    """The first nodes of all trees: rows of node, set."""
+    """The first nodes of all trees: rows of tree, node, set."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    return classes.select("set", "sig", tree).select(F.xxhash64("tree", _token(F.col("tree"))).alias("node"), "set")
+    return classes.select("set", "sig", tree).select("tree", F.xxhash64("tree", _token(F.col("tree"))).alias("node"), "set")
 
 
 def _children(rows: DataFrame) -> DataFrame:
@@ -160,18 +165,23 @@ def _met(rows: DataFrame) -> DataFrame:
 
 
 def first_level(classes: DataFrame) -> DataFrame:
-    """node, set, n, sig, root, used, size: the classes that are not alone in a first node. classes: set, n, sig; a row for each set."""
+    """tree, node, set, n, sig, root, used, size: the classes that are not alone in a first node. classes: set, n, sig; a row for each set."""
     met = stored(_nodes(_roots(classes)), "together").join(classes, "set")  # few are left, so few signatures travel
     return met.withColumns({"root": F.col("set"), "used": F.array().cast("array<int>")})
 
 
-def next_level(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """What is left of a level once roots are known: larger nodes whose members are not all connected, under their children."""
+def crowds_and_children(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left of a level once roots are known, of its larger nodes: the members of crowds, and all others under their children.
+    Nodes whose members are all connected are left out of both."""
     named = roots.select(F.col("node").alias("set"), F.col("root").alias("new"))
-    large = rows.where(f"size > {SMALL}").join(named, "set", "left").withColumn("root", F.coalesce("new", "set")).drop("new")
-    told = lambda df: df.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("node", "size")
-    children = stored(_children(large.join(told(large).select("node"), "node", "left_semi")), "children")
-    return children.join(told(children), "node")
+    large = stored(rows.where(f"size > {SMALL} and tree < {DEEP_TREES}").join(named, "set", "left").withColumn("root", F.coalesce("new", "set")).drop("new"), "large")
+    parts = large.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"))
+    told = parts.groupBy("node").agg((F.sum("c") - F.max("c")).alias("outside")).where("outside > 0")
+    left = large.join(stored(told, "told"), "node")
+    crowds = left.where(f"outside <= {OUTSIDE}").select("node", "set", "n", "sig")
+    children = _children(left.where(f"outside > {OUTSIDE}").drop("outside"))
+    again = children.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("node", "size")
+    return stored(crowds, "crowds"), stored(children.join(again, "node"), "level")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
@@ -225,13 +235,13 @@ def rest(crowds: DataFrame, roots: DataFrame, grams: DataFrame, percent: int = P
 
     crowds: node, set, n, sig. roots: node, root as of components()."""
     named = roots.select(F.col("node").alias("set"), "root")
-    rows = stored(crowds.select("node", "set", "n", "sig").join(named, "set", "left").withColumn("root", F.coalesce("root", "set")), "crowds")
+    rows = crowds.select("node", "set", "n", "sig").join(named, "set", "left").withColumn("root", F.coalesce("root", "set"))
     parts = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
     top = F.max_by(F.struct("root", "c", "s"), F.struct("c", "root")).alias("m")
     mixed = parts.groupBy("node").agg(top, F.sum("c").alias("c"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
     mixed = mixed.select("node", F.col("m.root").alias("main"), blocks(F.col("c"), F.col("s")).alias("wide"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("high"))
-    there = stored(rows.join(stored(mixed, "mixed"), "node").join(grams, "set").withColumn("out", F.col("root") != F.col("main")), "mixedrows")
+    there = stored(rows.join(mixed, "node").join(grams, "set").withColumn("out", F.col("root") != F.col("main")), "mixedrows")
     own = lambda n: F.pmod(F.xxhash64("set"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     members = there.select("node", own(F.col("wide")).alias("x"), every(F.col("high")).alias("y"), "set", "n", "sig", "root", "grams", "out")
@@ -266,18 +276,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rows = stored(first_level(classes.select("set", "n", "sig")), "level")
     pairs = tested = stored(_screened(_met(rows), percent), "pairs")
     # the sets of all that deeper levels and `rest` can ask for
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(rows.where(f"size > {SMALL}").select("set")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(rows.where(f"size > {SMALL} and tree < {DEEP_TREES}").select("set")).distinct()
     grams = stored(shingle_sets(docs, classes.join(wanted, "set", "left_semi").select(F.col("rep").alias("doc_id")), words), "grams")
     roots = linked(pairs, grams, percent)
-    for _ in range(DEPTH - 1):
-        rows = stored(next_level(rows, roots), "level")
+    for depth in range(DEPTH):
+        crowds, after = crowds_and_children(rows, roots)
+        drop(rows)
+        rows = after
+        if crowds.limit(1).count():
+            roots = _joined(roots, stored(rest(crowds, roots, grams, percent), "more"))
+        drop(crowds)
+        if not rows.limit(1).count():
+            break
+        if depth + 1 == DEPTH:
+            roots = _joined(roots, stored(rest(rows, roots, grams, percent), "more"))
+            break
         pairs = stored(_screened(_met(rows), percent).join(tested, ["a", "b"], "left_anti"), "pairs")
         roots = _joined(roots, stored(confirmed(pairs, grams, percent), "confirmed"))
         tested = tested.union(pairs)
-        if not rows.where(f"size > {SMALL}").limit(1).count():
-            break
-    else:
-        roots = _joined(roots, stored(rest(next_level(rows, roots), roots, grams, percent), "more"))
     reps = classes.select(F.col("set").alias("node"), "rep")
     smallest = stored(roots.join(reps, "node").groupBy("root").agg(F.min("rep").alias("component_id")), "smallest")
     of_set = roots.join(smallest, "root").select(F.col("node").alias("set"), "component_id")
