@@ -32,27 +32,31 @@ def capitalise(word: Column) -> Column:
     return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substring(word, 2, 2**31 - 1)))
 
 
-def py_round3(x: Column) -> Column:
-    """x rounded to 3 places as Python does: the exact binary value, ties to even. For 0 <= x < 8; null stays null.
+def py_round(x: Column, places: int) -> Column:
+    """A double rounded to so many places (0 to 22) as Python does: by its exact binary value, ties to even; null stays null.
 
-    The double is scaled by 2 ** 60 without error (for x of 2 ** -8 or more) and rounded in decimal arithmetic.
+    x times the power of ten is kept as a sum of two doubles, which is exact (each factor is split in halves whose products
+    need no rounding), so it is known on which side of a tie x lies.
     """
-    scale = F.lit("1152921504606846976").cast("decimal(20,0)")
-    exact = ((x * F.lit(2.0**60)).cast("bigint").cast("decimal(20,0)") * F.lit(1000).cast("decimal(4,0)")).cast("decimal(30,0)")
-    whole = F.floor(exact / scale).cast("decimal(20,0)")
-    twice = (exact - whole * scale) * F.lit(2).cast("decimal(1,0)")
-    up = (twice > scale) | ((twice == scale) & (whole % 2 == 1))
-    return (whole.cast("bigint") + up.cast("bigint")) / F.lit(1000.0)
+    scale = 10.0**places
+    high_of = lambda v: let(v * 134217729.0, lambda c: c - (c - v))
+    sh = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    sl = scale - sh
 
+    def told(p: Column, high: Column) -> Column:
+        low = x - high
+        error = ((high * sh - p) + high * sl + low * sh) + low * sl
+        whole = F.floor(p)
+        side = (p - whole.cast("double") - 0.5) + error
+        up = (side > 0) | ((side == 0) & (whole % 2 != 0))
+        got = (whole + F.when(up, 1).otherwise(0)).cast("double") / scale
+        return F.when((got == 0) & (x < 0), F.lit(-0.0)).otherwise(got)
 
-def first_truthy(entries: Column, names: list[str]) -> Column:
-    """Of a map<string,string> of raw JSON values, the first named one that Python holds true; null if there is none."""
-    return F.coalesce(*[let(entries[n], lambda v: F.when(truthy(v), v)) for n in names])
+    return let(x * scale, lambda p: F.when(F.abs(p) < 2.0**52, let(high_of(x), lambda high: told(p, high))).otherwise(x))
 
 
-def truthy(value: Column) -> Column:
-    """Whether the JSON value that a string holds is true in Python's sense. The string \"false\" is handled by callers that keep quotes."""
-    return value.isNotNull() & ~value.isin("", "0", "0.0", "false", "null", "[]", "{}")
+def py_round3(x: Column) -> Column:
+    return py_round(x, 3)
 
 
 def quoted(text: str) -> str:

@@ -62,11 +62,10 @@ def skill_list(raw: Column) -> Column:
 def skills_in(text: Column) -> Column:
     """Canonical names of all aliases that stand alone in a text, longer aliases first, each name once."""
     ordered = sorted(taxonomy().items(), key=lambda x: -len(x[0]))
-    aliases = literal_structs([{"a": a, "c": c, "p": rf"(?<![a-zA-Z0-9\-])\Q{a}\E(?![a-zA-Z0-9\-])"} for a, c in ordered])
 
     def found(low: Column) -> Column:
-        # a plain search for the alias is much cheaper than the pattern and rules most of them out
-        hits = F.filter(F.filter(aliases, lambda z: low.contains(z["a"])), lambda z: F.regexp_like(low, z["p"]))
-        return F.array_distinct(F.transform(hits, lambda z: z["c"]))
+        # a plain search for the alias is much cheaper than the pattern and rules most of them out; literal patterns are compiled once
+        alone = lambda a: low.contains(a) & low.rlike(rf"(?<![a-zA-Z0-9\-])\Q{a}\E(?![a-zA-Z0-9\-])")
+        return F.array_distinct(F.array_compact(F.array(*[F.when(alone(a), F.lit(c)) for a, c in ordered])))
 
     return let(F.lower(text), found)

@@ -1,7 +1,8 @@
 """Merging: all records of one candidate become one row, with provenance for every value that was considered.
 
 Records are normalised where they are read and reduced to what merging needs. One exchange then brings a candidate's
-records together; everything after it is higher-order functions over the ordered array, without further shuffles. Order is
+records together; everything after it is higher-order functions over the ordered array, without further shuffles. What has to be
+grouped in there is sorted, so a candidate with very many records (a shared address) costs n log n. Order is
 semantic: ascending source priority, then source, row and position.
 """
 
@@ -103,9 +104,19 @@ def normalised(raw: DataFrame) -> DataFrame:
     )
 
 
+def _groups(items: Column, key) -> Column:
+    """The entries (with their places: struct<k, i, x>) of equal keys, in order, as an array for each key. By sorting, so that the work
+    grows with n log n however many records a candidate has."""
+    new = lambda s: F.filter(F.transform(s, lambda x, j: F.when((j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"]), j)), lambda j: j.isNotNull())
+    cut = lambda s, at: F.transform(at, lambda j, g: F.slice(s, j + 1, F.coalesce(F.get(at, g + 1), F.size(s)) - j))
+    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+    return let(keyed, lambda s: let(new(s), lambda at: cut(F.transform(s, lambda e: F.struct(e["k"].alias("k"), e["i"].alias("i"), F.get(items, e["i"]).alias("x"))), at)))
+
+
 def _first_of(items: Column, key) -> Column:
     """The entries whose key has not occurred before."""
-    return let(F.transform(items, key), lambda keys: F.filter(items, lambda x, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+    places = lambda groups: F.sort_array(F.transform(groups, lambda g: F.get(g, F.lit(0))["i"]))
+    return F.transform(let(_groups(items, key), places), lambda i: F.get(items, i))
 
 
 def _winner(facts: Column, field: str) -> Column:
@@ -115,29 +126,28 @@ def _winner(facts: Column, field: str) -> Column:
 
 
 def _skills(items: Column) -> Column:
-    def fused(name: Column, i: Column) -> Column:
+    def fused(group: Column) -> Column:
+        first = F.get(group, F.lit(0))
+        every = lambda name: F.array_distinct(F.transform(group, lambda e: e["x"][name]))
         return let(
-            F.filter(items, lambda s: s["name"] == name),
-            lambda g: let(
-                py_round3(F.array_max(F.transform(g, lambda s: s["conf"]))),
-                lambda c: F.struct((-c).alias("o"), i.alias("i"), F.struct(name.alias("name"), F.array_distinct(F.transform(g, lambda s: s["raw"])).alias("aliases_seen"), c.alias("confidence"), F.array_distinct(F.transform(g, lambda s: s["source"])).alias("sources")).alias("s")),
-            ),
+            py_round3(F.array_max(F.transform(group, lambda e: e["x"]["conf"]))),
+            lambda c: F.struct((-c).alias("o"), first["i"].alias("i"), F.struct(first["k"].alias("name"), every("raw").alias("aliases_seen"), c.alias("confidence"), every("source").alias("sources")).alias("s")),
         )
 
-    names = F.array_distinct(F.transform(items, lambda s: s["name"]))
-    return F.transform(F.sort_array(F.transform(names, fused)), lambda x: x["s"])
+    return F.transform(F.sort_array(F.transform(_groups(items, lambda s: s["name"]), fused)), lambda x: x["s"])
 
 
 def _merged_experience(items: Column) -> Column:
     """Equal company, title and start are one entry that names all its sources; latest start first."""
 
-    def fold(all_: Column, e: Column) -> Column:
-        grown = F.transform(all_, lambda x: F.when((x["key"] == e["key"]) & ~x["source"].contains(e["source"]), x.withField("source", F.concat(x["source"], F.lit(","), e["source"]))).otherwise(x))
-        return F.when(F.exists(all_, lambda x: x["key"] == e["key"]), grown).otherwise(F.concat(all_, F.array(e))).cast(_KEYED)
+    def folded(group: Column) -> Column:
+        first = F.get(group, F.lit(0))
+        sources = F.array_distinct(F.transform(group, lambda e: e["x"]["source"]))
+        named = F.aggregate(F.slice(sources, F.lit(2), F.size(sources)), F.get(sources, F.lit(0)), lambda all_, s: F.when(all_.contains(s), all_).otherwise(F.concat(all_, F.lit(","), s)))
+        return F.struct(F.coalesce(first["x"]["start"], F.lit("0000")).alias("o"), (-first["i"]).alias("i"), first["x"].withField("source", named).dropFields("key").alias("e"))
 
-    folded = F.aggregate(items, F.expr(f"cast(array() as {_KEYED})"), fold)
-    keyed = F.transform(folded, lambda e, i: F.struct(F.coalesce(e["start"], F.lit("0000")).alias("o"), (-i).alias("i"), e.alias("e")))
-    return F.transform(F.sort_array(keyed, asc=False), lambda x: x["e"].dropFields("key")).cast(EXPERIENCE)
+    keyed = F.transform(_groups(items, lambda e: e["key"]), folded)
+    return F.transform(F.sort_array(keyed, asc=False), lambda x: x["e"]).cast(EXPERIENCE)
 
 
 def _merged_education(items: Column) -> Column:
@@ -148,22 +158,26 @@ def _merged_education(items: Column) -> Column:
 
 def _merged_links(items: Column) -> Column:
     """Lowest priority first: the first link of a kind takes its place, every later one goes to `other`, each once."""
+    first = lambda holds: F.get(F.filter(F.transform(items, lambda x, i: F.when(holds(x, i), i)), lambda i: i.isNotNull()), F.lit(0))
+    no = F.lit(-1)
 
-    def fold(a: Column, x: Column) -> Column:
-        free = lambda kind: F.coalesce(a[kind] == "", F.lit(True))
-        li, gh = (x["kind"] == "linkedin") & free("linkedin"), (x["kind"] == "github") & free("github")
-        pf = ~li & ~gh & F.coalesce(x["type"] == "portfolio", F.lit(False)) & free("portfolio")
-        other = F.when(li | gh | pf | F.array_contains(a["other"], x["url"]), a["other"]).otherwise(F.array_append(a["other"], x["url"]))
-        put = lambda here, name: F.when(here, x["url"]).otherwise(a[name]).alias(name)
-        return F.struct(put(li, "linkedin"), put(gh, "github"), put(pf, "portfolio"), other.alias("other")).cast(LINKS)
+    def told(li: Column, gh: Column, pf: Column) -> Column:
+        url = lambda i: F.get(items, F.when(i >= 0, i))["url"]
+        rest = F.filter(F.transform(items, lambda x, i: F.when((i != li) & (i != gh) & (i != pf), x["url"])), lambda u: u.isNotNull())
+        return F.struct(url(li).alias("linkedin"), url(gh).alias("github"), url(pf).alias("portfolio"), F.array_distinct(rest).alias("other")).cast(LINKS)
 
-    start = F.expr(f"cast(named_struct('linkedin', null, 'github', null, 'portfolio', null, 'other', array()) as {LINKS})")
-    return F.aggregate(items, start, fold)
+    of_kind = lambda kind: F.coalesce(first(lambda x, i: x["kind"] == kind), no)
+    portfolio = lambda li, gh: F.coalesce(first(lambda x, i: (x["type"] == "portfolio") & (i != li) & (i != gh)), no)
+    return let(of_kind("linkedin"), lambda li: let(of_kind("github"), lambda gh: let(portfolio(li, gh), lambda pf: told(li, gh, pf))))
 
 
 def merge(raw: DataFrame) -> DataFrame:
     """One row for each candidate, without its score. `_first` is the place of its first record, which output is ordered by."""
-    rows = normalised(raw)
+    return merge_normalised(normalised(raw))
+
+
+def merge_normalised(rows: DataFrame) -> DataFrame:
+    """merge() of rows that normalised() has made."""
     item = F.struct("prio", "src_idx", "row_idx", "source_id", "extracted_at", "facts", "skills", "experience", "education", "links")
     groups = rows.groupBy("candidate_id").agg(F.sort_array(F.collect_list(item)).alias("r"), F.max("extracted_at").alias("created_at"))
     flat = lambda name: F.flatten(F.transform("r", lambda x: x[name]))
@@ -179,9 +193,9 @@ def merge(raw: DataFrame) -> DataFrame:
         flat("education").alias("e"),
         flat("links").alias("l"),
     )
-    keys = F.transform("f", lambda f: F.concat_ws("\0", f["field"], f["normalized_value"]))
-    once = let(keys, lambda k: F.filter("f", lambda f, i: ~f["field"].isin("emails", "phones") | (F.array_position(k, F.get(k, i)) == i + 1)))
-    parts = parts.withColumn("f", once)
+    # a value counts once among e-mails and phones; of other fields every fact does
+    numbered = F.transform("f", lambda f, i: f.withField("own", F.when(~f["field"].isin("emails", "phones"), i)))
+    parts = parts.withColumn("f", _first_of(numbered, lambda f: F.struct(f["field"], f["normalized_value"], f["own"])))
     for field in ("full_name", "location", "headline"):
         parts = parts.withColumn(f"w_{field}", _winner(F.col("f"), field))
 

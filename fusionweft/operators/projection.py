@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.core import py_round3
+from ..functions.core import py_round
 from ..plans.config import ConfigError, FieldSpec, ProjectionConfig
 from .identity import iso
 
@@ -124,11 +124,18 @@ def _pluck(value: Typed, arg: str) -> Typed:
 
 
 def _round(value: Typed, arg: str) -> Typed:
+    """Numbers as Python rounds them. A text that is a number is rounded and stays text, as a column has one type."""
     column, kind = value
-    if not re.fullmatch(r"\s*-?\d+\s*", arg) or not isinstance(kind, _NUMBERS):
+    if not re.fullmatch(r"\s*-?\d+\s*", arg):
         return value
-    x, places = column.cast("double"), int(arg)
-    return (F.when((x >= 0) & (x < 8), py_round3(x)).otherwise(F.bround(x, places)) if places == 3 else F.bround(x, places)), T.DoubleType()
+    places = int(arg)
+    rounded = lambda x: py_round(x, places) if 0 <= places <= 22 else x if places > 22 else F.bround(x, places)
+    if isinstance(kind, T.StringType):
+        number = F.trim(column).try_cast("double")
+        return F.coalesce(rounded(number).cast("string"), column), kind
+    if not isinstance(kind, _NUMBERS):
+        return value
+    return rounded(column.cast("double")), T.DoubleType()
 
 
 def _truncate(value: Typed, arg: str) -> Typed:

@@ -30,12 +30,24 @@ FIELDS = {
 JOB = {"company": ("company", "employer", "organization"), "title": ("title", "jobTitle", "job_title"), "start": ("start", "startDate", "start_date"), "end": ("end", "endDate", "end_date"), "is_current": ("current", "isCurrent", "is_current"), "summary": ("summary", "description")}
 SCHOOL = {"institution": ("institution", "school", "university"), "degree": ("degree", "qualification"), "field": ("field", "major", "fieldOfStudy"), "end_year": ("endYear", "end_year", "graduationYear")}
 _NOTHING = ("", "0", "0.0", "false", "null", "[]", "{}")
+#: What JSON allows and no more.
+_STRICT = {"allowSingleQuotes": "false"}
 
 
-def _first(entries: Column, names: tuple[str, ...]) -> Column:
-    """The first of the named values that Python holds true."""
-    some = lambda v: F.when(v.isNotNull() & ~v.isin(*_NOTHING), v)
-    return F.coalesce(*[some(F.try_element_at(entries, F.lit(n))) for n in names])
+def _objects(value: Column) -> Column:
+    """The objects of a JSON list as struct<m: map of texts, v: variant>; other items are skipped. Null if it is no list."""
+    items = F.filter(F.from_json(value, "array<string>"), lambda x: x.startswith("{"))
+    return F.transform(items, lambda x: F.struct(F.from_json(x, "map<string,string>").alias("m"), F.try_parse_json(x).alias("v")))
+
+
+def _first(item: Column, names: tuple[str, ...]) -> Column:
+    """The first of the named values that Python holds true: any text but the empty one, and other values that are not nothing."""
+
+    def some(name: str) -> Column:
+        value, text = F.try_element_at(item["m"], F.lit(name)), F.schema_of_variant(F.try_variant_get(item["v"], f"$.{name}", "variant")) == "STRING"
+        return F.when(value.isNotNull() & (value != "") & (~value.isin(*_NOTHING) | F.coalesce(text, F.lit(False))), value)
+
+    return F.coalesce(*[some(n) for n in names])
 
 
 def field(entries: Column, name: str) -> Column:
@@ -45,7 +57,7 @@ def field(entries: Column, name: str) -> Column:
 
 
 def experience(value: Column, company: Column, title: Column) -> Column:
-    jobs = F.from_json(value, "array<map<string,string>>")
+    jobs = _objects(value)
     entry = lambda j: F.struct(*[(F.coalesce(_first(j, names).isNotNull(), F.lit(False)) if n == "is_current" else _first(j, names)).alias(n) for n, names in JOB.items()])
     none = F.lit(None).cast("string")
     alone = F.array(F.struct(company.alias("company"), title.alias("title"), none.alias("start"), none.alias("end"), F.lit(True).alias("is_current"), none.alias("summary")))
@@ -55,7 +67,7 @@ def experience(value: Column, company: Column, title: Column) -> Column:
 
 
 def education(value: Column) -> Column:
-    entries = F.transform(F.from_json(value, "array<map<string,string>>"), lambda e: F.struct(*[_first(e, names).alias(n) for n, names in SCHOOL.items()]))
+    entries = F.transform(_objects(value), lambda e: F.struct(*[_first(e, names).alias(n) for n, names in SCHOOL.items()]))
     return F.coalesce(F.when(strip(value).startswith("["), entries).cast(EDUCATION_RAW), F.expr(f"cast(array() as {EDUCATION_RAW})"))
 
 
@@ -66,34 +78,38 @@ def skill_values(value: Column) -> Column:
 
 def records(texts: DataFrame) -> DataFrame:
     """pos and record (JSON text) of whole documents in a column `value`: a list, {candidates: [...]}, {data: [...] or {...}}, or one record."""
-    doc = strip(F.col("value"))
-    good = F.try_parse_json(doc).isNotNull()
-    items = lambda path: F.from_json(F.get_json_object(doc, path), "array<string>")
-    listed = F.get_json_object(doc, "$.candidates")
-    data = F.get_json_object(doc, "$.data")
+    # a text is one JSON value if it is so between brackets; unlike a parsed variant, this holds for texts of any length
+    whole = F.from_json(F.concat(F.lit("["), strip(F.col("value")), F.lit("]")), "array<string>", _STRICT)
+    doc = F.when(F.size(whole) == 1, F.get(whole, F.lit(0)))
+    items = lambda path: F.from_json(F.get_json_object("doc", path), "array<string>")
+    listed = F.get_json_object("doc", "$.candidates")
+    data = F.get_json_object("doc", "$.data")
     as_list = lambda text, array: F.when(text.startswith("["), array).when(text.startswith("{"), F.array(text))
     found = (
-        F.when(doc.startswith("["), F.from_json(doc, "array<string>"))
+        F.when(F.col("doc").startswith("["), F.from_json("doc", "array<string>"))
         .when(listed.isNotNull(), F.when(listed.startswith("["), items("$.candidates")))
         .when(data.isNotNull(), as_list(data, items("$.data")))
-        .when(doc.startswith("{"), F.array(doc))
+        .when(F.col("doc").startswith("{"), F.array("doc"))
     )
-    return texts.where(good).select(F.posexplode(found).alias("pos", "record")).where(F.col("record").startswith("{"))
+    return texts.select(F.explode(F.array(doc)).alias("doc")).select(F.posexplode(found).alias("pos", "record")).where(F.col("record").startswith("{"))
 
 
 class DocumentSource(Source):
-    """JSON files, each one document. Bad, empty or missing files have no records; items that are no objects are skipped."""
+    """JSON files, each one document; with lines=True one record in each line, which Spark can split. Bad, empty or missing files have
+    no records; items that are no objects are skipped. A document has to fit a cell (2 GB); larger ones are an error of the read."""
 
     source_type = "ats_json"
     base_confidence = 0.88
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, lines: bool = False):
+        self.path, self.lines = path, lines
         self.source_id = f"ats_json:{path.rstrip('/').rpartition('/')[2]}"
 
     def extract(self, spark, src_idx, at):
         if not readable(spark, self.path):
             return self.nothing(spark)
+        if self.lines:
+            return self.from_records(spark.read.text(self.path).select(F.monotonically_increasing_id().alias("pos"), strip(F.col("value")).alias("record")).where(F.col("record").startswith("{")), src_idx, at)
         return self.from_records(records(spark.read.text(self.path, wholetext=True)), src_idx, at)
 
     def from_records(self, rows: DataFrame, src_idx: int, at) -> DataFrame:
