@@ -43,7 +43,7 @@ def py_round(x: Column, places: int) -> Column:
     sh = scale * 134217729.0 - (scale * 134217729.0 - scale)
     sl = scale - sh
 
-    def told(p: Column, high: Column) -> Column:
+    def told(x: Column, p: Column, high: Column) -> Column:
         low = x - high
         error = ((high * sh - p) + high * sl + low * sh) + low * sl
         whole = F.floor(p)
@@ -52,7 +52,7 @@ def py_round(x: Column, places: int) -> Column:
         got = (whole + F.when(up, 1).otherwise(0)).cast("double") / scale
         return F.when((got == 0) & (x < 0), F.lit(-0.0)).otherwise(got)
 
-    return let(x * scale, lambda p: F.when(F.abs(p) < 2.0**52, let(high_of(x), lambda high: told(p, high))).otherwise(x))
+    return let(x, lambda x: let(x * scale, lambda p: F.when(F.abs(p) < 2.0**52, let(high_of(x), lambda high: told(x, p, high))).otherwise(x)))
 
 
 def py_round3(x: Column) -> Column:

@@ -109,14 +109,16 @@ def _groups(items: Column, key) -> Column:
     grows with n log n however many records a candidate has."""
     new = lambda s: F.filter(F.transform(s, lambda x, j: F.when((j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"]), j)), lambda j: j.isNotNull())
     cut = lambda s, at: F.transform(at, lambda j, g: F.slice(s, j + 1, F.coalesce(F.get(at, g + 1), F.size(s)) - j))
-    keyed = F.sort_array(F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
-    return let(keyed, lambda s: let(new(s), lambda at: cut(F.transform(s, lambda e: F.struct(e["k"].alias("k"), e["i"].alias("i"), F.get(items, e["i"]).alias("x"))), at)))
+    keyed = lambda all_: F.sort_array(F.transform(all_, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+    full = lambda all_, s: F.transform(s, lambda e: F.struct(e["k"].alias("k"), e["i"].alias("i"), F.get(all_, e["i"]).alias("x")))
+    return let(items, lambda all_: let(keyed(all_), lambda s: let(full(all_, s), lambda f: let(new(f), lambda at: cut(f, at)))))
 
 
 def _first_of(items: Column, key) -> Column:
     """The entries whose key has not occurred before."""
-    places = lambda groups: F.sort_array(F.transform(groups, lambda g: F.get(g, F.lit(0))["i"]))
-    return F.transform(let(_groups(items, key), places), lambda i: F.get(items, i))
+    first = lambda g: F.get(g, F.lit(0))
+    placed = F.sort_array(F.transform(_groups(items, key), lambda g: F.struct(first(g)["i"].alias("i"), first(g)["x"].alias("x"))))
+    return F.transform(placed, lambda e: e["x"])
 
 
 def _winner(facts: Column, field: str) -> Column:
@@ -158,6 +160,10 @@ def _merged_education(items: Column) -> Column:
 
 def _merged_links(items: Column) -> Column:
     """Lowest priority first: the first link of a kind takes its place, every later one goes to `other`, each once."""
+    return let(items, _placed_links)
+
+
+def _placed_links(items: Column) -> Column:
     first = lambda holds: F.get(F.filter(F.transform(items, lambda x, i: F.when(holds(x, i), i)), lambda i: i.isNotNull()), F.lit(0))
     no = F.lit(-1)
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import logging
+import os
 import sys
 
 from ..session import local_session
 from ..sources.delimited import DelimitedSource
 from ..sources.documents import DocumentSource
-from ..sources.rest import ProfileSource
+from ..sources.rest import Fetcher, ProfileSource, fetched, http_get
 from .config import ConfigError, ProjectionConfig, load_config
-from .pipeline import Pipeline
+from .pipeline import Pipeline, as_json
 
 
 def parser() -> argparse.ArgumentParser:
@@ -21,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--ats", help="JSON document")
     p.add_argument("--profiles", help="landed profiles (JSON lines); with --repos")
     p.add_argument("--repos", help="landed repositories (JSON lines)")
+    p.add_argument("--github", action="append", default=[], metavar="URL", help="profile to fetch (login or link; may be repeated); GITHUB_TOKEN is used if set")
     p.add_argument("--config", help="projection configuration (YAML)")
     p.add_argument("--no-provenance", action="store_true")
     p.add_argument("--no-confidence", action="store_true")
@@ -43,7 +45,7 @@ def summary(result: dict) -> str:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     logging.basicConfig(level=args.log_level.upper(), filename=args.log_file)
-    if not (args.csv or args.ats or args.profiles):
+    if not (args.csv or args.ats or args.profiles or args.github):
         print("no source given", file=sys.stderr)
         return 1
     try:
@@ -58,14 +60,15 @@ def main(argv: list[str] | None = None) -> int:
         profiles = spark.read.schema("login string, status int, name string, email string, bio string, company string, blog string, location string").json(args.profiles)
         repos = spark.read.schema("login string, pos int, language string, size bigint, fork boolean").json(args.repos) if args.repos else spark.createDataFrame([], "login string, pos int, language string, size bigint, fork boolean")
         sources.append(ProfileSource(profiles, repos))
-    result = Pipeline(sources, config).run(spark)
-    text = result.to_json()
+    if args.github:
+        sources.append(fetched(spark, args.github, Fetcher(http_get(os.environ.get("GITHUB_TOKEN")))))
+    whole = Pipeline(sources, config).run(spark).to_dict()  # computed once; all that follows reads it
+    text = as_json(whole)
     if args.output:
         with open(args.output, "w", encoding="utf-8") as f:
             f.write(text + "\n")
     else:
         print(text)
-    whole = result.to_dict() if args.summary else None
-    if whole:
+    if args.summary:
         print(summary(whole), file=sys.stderr)
-    return int(result.failed().limit(1).count() > 0)
+    return int(whole["candidates_failed"] > 0)

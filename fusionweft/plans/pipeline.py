@@ -56,7 +56,11 @@ class Result:
         }
 
     def to_json(self, indent: int | None = 2) -> str:
-        return json.dumps(self.to_dict(), indent=indent, ensure_ascii=False)
+        return as_json(self.to_dict(), indent)
+
+
+def as_json(envelope: dict, indent: int | None = 2) -> str:
+    return json.dumps(envelope, indent=indent, ensure_ascii=False)
 
 
 def candidates(raw: DataFrame) -> DataFrame:

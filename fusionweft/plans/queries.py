@@ -7,6 +7,7 @@ Operators run on whole tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,10 @@ from ..operators.score import WEIGHTS, with_score
 from ..operators.validate import schema_errors, semantic_warnings
 from ..schemas import raw_columns
 from ..sources import documents as docs_source
-from ..sources.delimited import keep, split_skills
-from ..sources.rest import languages
+from ..session import landing
+from ..sources.delimited import DelimitedSource, keep, split_skills
+from ..sources.documents import DocumentSource
+from ..sources.rest import ProfileSource, languages
 from .config import parse_config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -277,6 +280,66 @@ query("json_roots", _DOCS, lambda d: docs_source.records(d).groupBy().agg(F.coun
 _REPOS = "SELECT cast(l_suppkey AS string) AS login, l_linenumber AS pos, CASE WHEN l_linestatus = 'O' THEN l_returnflag ELSE NULL END AS language, cast(l_quantity AS bigint) AS size, l_linenumber % 5 = 0 AS fork FROM {lineitem}"
 query("lang_agg", _REPOS, lambda d: languages(d).select("login", "language", "size", F.col("pos").cast("bigint").alias("pos")), "SELECT login, language, sum(size)::BIGINT AS size, min(pos)::BIGINT AS pos FROM i WHERE NOT fork AND language IS NOT NULL GROUP BY 1, 2")
 
+AT = datetime(2024, 1, 2, 3, 4, 5)
+
+
+def _scanned(d: DataFrame, source) -> DataFrame:
+    got = source.extract(d.sparkSession, 0, AT)
+    text = lambda c: F.array_join(c, "/").alias
+    job = F.get("experience", F.lit(0))
+    return got.select("source_type", "full_name", text("emails")("emails"), "location_raw", "headline", text("skills_raw")("skills"), job["company"].alias("company"), job["title"].alias("title"), text(F.transform("links", lambda x: F.concat(x["type"], F.lit("="), x["url"])))("links"), F.concat_ws("|", F.transform("experience", lambda e: F.concat_ws(":", e["company"], e["is_current"].cast("string")))).alias("jobs"))
+
+
+def _csv_scan(d: DataFrame) -> DataFrame:
+    path = landing(d.sparkSession, "csv")
+    names = {"n": "Candidate Name", "e": "E-Mail", "c": "City", "s": "skills", "b": "Bio", "o": "Employer", "t": "position", "l": "LinkedIn"}
+    d.where("k % 2 = 0").select(*[F.col(a).alias(b) for a, b in names.items()]).write.csv(path, header=True, escape='"')
+    d.where("k % 2 = 1").select(*[F.col(a).alias(names[a]) for a in reversed(names)]).write.mode("append").csv(path, header=True, escape='"')  # files with another order of columns
+    return _scanned(d, DelimitedSource(path))
+
+
+_PEOPLE = """SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS n, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE 'u' || c_custkey || '@x.org' END AS e, 'San "X", ' || c_mktsegment AS c,
+ 'a; b,' || c_mktsegment AS s, CASE WHEN c_custkey % 5 = 0 THEN 'two' || chr(10) || 'lines' ELSE 'one' END AS b, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS o, 'dev' AS t, 'linkedin.com/in/u' || c_custkey AS l FROM {customer}"""
+query(
+    "csv_scan",
+    _PEOPLE,
+    _csv_scan,
+    """SELECT 'csv' AS source_type, n AS full_name, coalesce(e, '') AS emails, c AS location_raw, b AS headline, 'a/b/' || split_part(c, ', ', 2) AS skills, o AS company, 'dev' AS title, 'linkedin=' || l AS links, CASE WHEN o IS NULL THEN 'true' ELSE o || ':true' END AS jobs
+ FROM i WHERE n IS NOT NULL OR e IS NOT NULL""",
+)
+
+
+def _json_scan(d: DataFrame) -> DataFrame:
+    path = landing(d.sparkSession, "json")
+    d.select("record").write.text(path)
+    return _scanned(d, DocumentSource(path, lines=True))
+
+
+_LINES = """SELECT c_custkey AS k, c_name AS n, c_mktsegment AS m, '{"candidateName": "' || c_name || '", "email": "u' || c_custkey || '@x.org", "city": "' || c_mktsegment || '", "technologies": "a|' || c_mktsegment || '", "githubUrl": "https://github.com/u' || c_custkey || '", "jobs": [7, {"company": "' || c_mktsegment || '", "jobTitle": "dev", "current": '
+ || CASE c_custkey % 6 WHEN 0 THEN 'false' WHEN 1 THEN '"false"' WHEN 2 THEN '0' WHEN 3 THEN '"0"' WHEN 4 THEN '""' ELSE 'null, "isCurrent": true' END || '}, "junk", null, {"employer": "second"}]}' AS record FROM {customer}"""
+query(
+    "json_scan",
+    _LINES,
+    _json_scan,
+    """SELECT 'ats_json' AS source_type, n AS full_name, 'u' || k || '@x.org' AS emails, m AS location_raw, NULL::VARCHAR AS headline, 'a/' || m AS skills, m AS company, 'dev' AS title, 'github=https://github.com/u' || k AS links,
+ m || ':' || CASE WHEN k % 6 IN (1, 3, 5) THEN 'true' ELSE 'false' END || '|second:false' AS jobs FROM i""",
+)
+
+
+def _rest_scan(d: DataFrame) -> DataFrame:
+    profiles = d.select("login").distinct().select("login", F.when(F.col("login").cast("int") % 4 == 0, 404).otherwise(200).alias("status"), F.concat(F.lit("N"), "login").alias("name"), F.concat(F.lit("U"), "login", F.lit("@X.org")).alias("email"), F.lit("dev, mail b@y.org").alias("bio"), F.lit("@Acme ").alias("company"), F.lit("x.example/").alias("blog"), F.lit("Here").alias("location"))
+    return _scanned(d, ProfileSource(profiles, d)).drop("jobs")
+
+
+query(
+    "rest_scan",
+    _REPOS,
+    _rest_scan,
+    """WITH l AS (SELECT login, language, sum(size) AS size, min(pos) AS pos FROM i WHERE NOT fork AND language IS NOT NULL GROUP BY 1, 2)
+ SELECT 'github' AS source_type, 'N' || p.login AS full_name, 'u' || p.login || '@x.org/b@y.org' AS emails, 'Here' AS location_raw, 'dev, mail b@y.org' AS headline, coalesce(string_agg(language, '/' ORDER BY size DESC, pos, language), '') AS skills, 'Acme' AS company, 'dev, mail b@y.org' AS title,
+ 'github=https://github.com/' || p.login || '/portfolio=https://x.example' AS links FROM (SELECT DISTINCT login FROM i) p LEFT JOIN l ON l.login = p.login WHERE p.login::INTEGER % 4 <> 0 GROUP BY p.login""",
+)
+
 # ---- identity
 
 query("identity_email", "SELECT k, value FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 2 = 0 THEN 'user' || c_custkey || '@x.org' ELSE 'Ü' || c_name END AS value FROM {customer} UNION ALL SELECT 1000000000 + s_suppkey AS k, s_name AS value FROM {supplier}) u", lambda d: d.select("k", hash_id(F.col("value")).alias("id"), uuid5_id(F.col("value")).alias("named")), "SELECT k, substr(sha256(value), 1, 16) AS id, substr(sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(value)), 1, 12) || '5' || substr(sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode(value)), 14, 3) AS named FROM i")

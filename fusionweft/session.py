@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +25,13 @@ def local_session(cpus: int | str = "*", name: str = "fusionweft", **conf: str)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def landing(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that the driver and all executors see (spark.checkpoint.dir); on one machine a local one will do."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="fusionweft-")
+    return f"{shared.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+import csv
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import people
@@ -36,33 +39,43 @@ def keep(name: Column, email: Column) -> Column:
 
 
 class DelimitedSource(Source):
-    """One CSV file or a folder of them. Quoted fields may hold separators, quotes and line ends; short rows lack their last
-    fields; a byte order mark is dropped; of headers that are equal in lower case the last counts."""
+    """One CSV file or a folder of them, each read by its own header. Quoted fields may hold separators and quotes, and line ends
+    unless multiline=False, which lets Spark split large files; short rows lack their last fields; a byte order mark is dropped; of
+    headers that are equal in lower case the last counts. A header is one line."""
 
     source_type = "csv"
     base_confidence = 0.85
 
-    def __init__(self, path: str, encoding: str = "UTF-8"):
-        self.path, self.encoding = path, encoding
+    def __init__(self, path: str, encoding: str = "UTF-8", multiline: bool = True):
+        self.path, self.encoding, self.multiline = path, encoding, multiline
         self.source_id = f"csv:{path.rstrip('/').rpartition('/')[2]}"
 
+    def headers(self, spark: SparkSession) -> dict[tuple[str, ...], list[str]]:
+        """The files of each header."""
+        lines = spark.read.option("sep", "\x01").option("quote", "").option("encoding", self.encoding).schema("value string").csv(self.path)
+        begun = lines.select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).where("file_block_start = 0")
+        found: dict[tuple[str, ...], list[str]] = {}
+        for row in begun.groupBy("file_path").agg(F.min_by("value", "at").alias("value")).orderBy("file_path").toLocalIterator():  # one line of each file
+            names = next(csv.reader([(row["value"] or "").replace("\ufeff", "")]), [])
+            found.setdefault(tuple(n.strip().lower() for n in names), []).append(row["file_path"])
+        return found
+
     def extract(self, spark, src_idx, at):
         if not readable(spark, self.path):
             return self.nothing(spark)
-        read = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", self.encoding).option("mode", "PERMISSIVE")
-        head = read.csv(self.path).head()
-        if head is None:
+        read = spark.read.option("multiLine", self.multiline).option("quote", '"').option("escape", '"').option("encoding", self.encoding).option("mode", "PERMISSIVE").option("header", True).option("enforceSchema", True)
+        parts = []
+        for headers, files in self.headers(spark).items():
+            names = [f"c{k}" for k in range(len(headers))]
+            if not names:
+                continue
+            rows = read.schema(", ".join(f"{n} string" for n in names)).csv(files)
+            at_name = dict(zip(headers, names, strict=True))  # the last of equal headers
+            found = {n: next((at_name[a] for a in aliases if a in at_name), None) for n, aliases in ALIASES.items()}
+            parts.append(rows.select(*[(blank_to_null(F.col(c)) if c else F.lit(None).cast("string")).alias(n) for n, c in found.items()]))
+        if not parts:
             return self.nothing(spark)
-        headers = [(h or "").replace("﻿", "").strip().lower() for h in head]
-        names = [f"c{k}" for k in range(len(headers))]
-        rows = read.option("header", True).option("enforceSchema", True).schema(", ".join(f"{n} string" for n in names)).csv(self.path)
-        at_name = dict(zip(headers, names, strict=True))  # the last of equal headers
-
-        def field(name: str) -> Column:
-            found = next((at_name[a] for a in ALIASES[name] if a in at_name), None)
-            return blank_to_null(F.col(found)) if found else F.lit(None).cast("string")
-
-        got = rows.select(*[field(n).alias(n) for n in ALIASES], F.monotonically_increasing_id().alias("row_idx"))
+        got = reduce(DataFrame.union, parts).withColumn("row_idx", F.monotonically_increasing_id())
         return raw_of(got.where(keep(F.col("full_name"), F.col("email"))), self, src_idx, at)
 
 

@@ -1,15 +1,19 @@
 """Developer profiles fetched from a REST service.
 
-The tested path reads landed payloads: a table of profiles and a table of repositories. `Fetcher` gets payloads itself, with
-retries, when a client is given.
+Large runs read landed payloads: a table of profiles and a table of repositories. `Fetcher` gets the payloads of a few logins
+itself, with retries, by any client (`http_get` is one).
 """
 
 from __future__ import annotations
 
+import json
+import re
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import people, urls
@@ -96,6 +100,45 @@ class Fetcher:
         return profile, [{"login": login, "pos": k} | {c: r.get(c) for c in ("language", "size", "fork")} for k, r in enumerate(repos)]
 
 
-def login_of(link):
-    """The user that a profile link names (a Column), or null."""
-    return urls.github_user(link)
+_PROFILE = "login string, status int, name string, email string, bio string, company string, blog string, location string"
+_REPO = "login string, pos int, language string, size bigint, fork boolean"
+
+
+def login_of(link: str) -> str:
+    """The login that a profile link or a bare login names; empty if it names none."""
+    found = re.match(r"(?:https?://)?(?:www\.)?github\.com/([a-zA-Z0-9\-]+)/?", link.strip())
+    login = found[1] if found else link.strip()
+    return login if re.fullmatch(r"[a-zA-Z0-9\-]+", login) and login not in urls.NO_USERS else ""
+
+
+def http_get(token: str | None = None) -> Callable:
+    """get() for Fetcher by the standard library; answers with an error status are answers."""
+
+    class Answer:
+        def __init__(self, status: int, headers, body: bytes):
+            self.status_code, self.headers, self.body = status, headers, body
+
+        def json(self):
+            return json.loads(self.body)
+
+    def get(url: str, timeout: float) -> Answer:
+        head = {"Accept": "application/vnd.github+json"} | ({"Authorization": f"Bearer {token}"} if token else {})
+        try:
+            with urllib.request.urlopen(urllib.request.Request(url, headers=head), timeout=timeout) as answer:
+                return Answer(answer.status, answer.headers, answer.read())
+        except urllib.error.HTTPError as e:
+            return Answer(e.code, e.headers, e.read())
+
+    return get
+
+
+def fetched(spark: SparkSession, links: list[str], fetcher: Fetcher) -> ProfileSource:
+    """The source of the profiles that a few links name, fetched by the driver under the service's rate limit; links that name nobody
+    and profiles that are not found are left out."""
+    profiles, repos = [], []
+    for login in dict.fromkeys(filter(None, map(login_of, links))):
+        profile, own = fetcher.fetch(login)
+        if profile:
+            profiles.append(profile)
+            repos += own
+    return ProfileSource(spark.createDataFrame(profiles, _PROFILE), spark.createDataFrame(repos, _REPO))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fusionweft.functions import dates, people, places, skills, urls
-from fusionweft.functions.core import py_round3, py_title
+from fusionweft.functions.core import py_round, py_round3, py_title
 from fusionweft.operators.identity import uuid5_id
 
 
@@ -104,6 +104,11 @@ def test_python_compatible_helpers(spark):
     values = [k / 10000 for k in range(60, 10000, 7)] + [0.2125, 0.2975, 0.4335, 0.5525, 0.5625, 0.6375, 0.8075, 1.0, 0.0]
     got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").select("i", py_round3(F.col("x")).alias("v")).orderBy("i").collect()
     assert [r["v"] for r in got] == [round(v, 3) for v in values]
+    values = [2.675, 9.0005, 0.5, 1.5, 2.5, -2.675, -0.4, 1e300, 123456789.125, 5e-324, 0.1 + 0.2, 1.005, 2.0**53 + 2] + [k / 1000 + 0.0005 for k in range(0, 20000, 37)]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    for places in (0, 1, 2, 3, 5, 9):
+        got = frame.select("i", py_round(F.col("x"), places).alias("v")).orderBy("i").collect()
+        assert [str(r["v"]) for r in got] == [str(round(v, places)) for v in values]
     texts = ["o'neil st. john's", "C++17 3d", "são paulo", ""]
     assert run(spark, py_title, texts) == [t.title() for t in texts]
     assert run(spark, uuid5_id, ["jo", "é:+1"]) == [uuid.uuid5(uuid.NAMESPACE_DNS, k).hex[:16] for k in ("jo", "é:+1")]

@@ -12,7 +12,7 @@ from fusionweft.plans.pipeline import Pipeline, candidates, view
 from fusionweft.sources.base import Source
 from fusionweft.sources.delimited import DelimitedSource
 from fusionweft.sources.documents import DocumentSource
-from fusionweft.sources.rest import Fetcher, ProfileSource
+from fusionweft.sources.rest import Fetcher, ProfileSource, fetched
 from fusionweft.streaming.runs import latest, merge_batches
 
 AT = datetime(2024, 1, 2, 3, 4, 5)
@@ -227,10 +227,69 @@ def test_configuration_files(tmp_path):
 
 
 def test_stream_of_batches(spark, sources, tmp_path):
-    sources[1].extract(spark, 0, AT).write.parquet(f"{tmp_path}/raw")
+    for source in (sources[0], sources[1]):  # two files, two batches
+        source.extract(spark, 0, AT).coalesce(1).write.mode("append").parquet(f"{tmp_path}/raw")
     schema = spark.read.parquet(f"{tmp_path}/raw").schema
-    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/raw")
-    sink = lambda df, n: df.select("candidate_id", "_json", F.lit(n).alias("batch")).write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")
-    query = merge_batches(stream, sink).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/raw")
+    sink = lambda df, n: df.select("candidate_id", "_json", F.lit(n).alias("batch")).write.mode("overwrite").parquet(f"{tmp_path}/out/n={n}")
+    query = merge_batches(stream, f"{tmp_path}/facts", sink).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
     query.awaitTermination(120)
-    assert latest(spark.read.parquet(f"{tmp_path}/out/0")).count() == 2
+    got = {json.loads(r["_json"])["full_name"]: json.loads(r["_json"]) for r in latest(spark.read.parquet(f"{tmp_path}/out")).collect()}
+    assert spark.read.parquet(f"{tmp_path}/out").select("batch").distinct().count() == 2
+    assert len(got["Rosa Diaz"]["sources_ingested"]) == 3  # both batches are in the last version
+
+
+def test_csv_folder_with_unequal_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name,email\nAnn Lee,ann@x.org\n")
+    (tmp_path / "b.csv").write_text("\ufeffEmail,Bio,Name\nbob@x.org,\"two\nlines\",Bob Ray\n")
+    got = DelimitedSource(str(tmp_path)).extract(spark, 0, AT).select("full_name", "emails", "headline").collect()
+    assert sorted((r["full_name"], r["emails"], r["headline"]) for r in got) == [("Ann Lee", ["ann@x.org"], None), ("Bob Ray", ["bob@x.org"], "two\nlines")]
+
+
+def test_odd_items_of_json_lists(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"name": "Ann Lee", "jobs": [{"company": "X", "current": "false"}, "junk", None, {"company": "Y", "title": "0", "current": False}], "education": [3, {"school": "S"}]}]))
+    row = DocumentSource(str(tmp_path / "a.json")).extract(spark, 0, AT).head()
+    assert [(j["company"], j["title"], j["is_current"]) for j in row["experience"]] == [("X", None, True), ("Y", "0", False)]
+    assert [e["institution"] for e in row["education"]] == ["S"]
+    for k, text in enumerate(("[1] x", "{'a': 1}", "[{\"name\": \"A\"}", "7", "", "[]", "1, 2")):
+        (tmp_path / f"bad{k}.json").write_text(text)
+        assert DocumentSource(str(tmp_path / f"bad{k}.json")).extract(spark, 0, AT).count() == 0
+
+
+def test_large_json_documents_keep_all_records(spark, tmp_path):
+    record = json.dumps({"name": "Ann Lee", "email": "ann@x.org", "bio": "x" * 930})
+    count = (141 << 20) // len(record)
+    (tmp_path / "large.json").write_text("[" + ",".join([record] * count) + "]")
+    assert DocumentSource(str(tmp_path / "large.json")).extract(spark, 0, AT).count() == count
+
+
+def test_a_candidate_with_very_many_records(spark):
+    from fusionweft.schemas import raw_columns
+
+    number = F.col("id")
+    job = F.array(F.struct(F.concat(F.lit("C"), (number % 50).cast("string")).alias("company"), F.lit("dev").alias("title"), F.lit(None).cast("string").alias("start"), F.lit(None).cast("string").alias("end"), F.lit(True).alias("is_current"), F.lit(None).cast("string").alias("summary")))
+    links = F.array(F.struct(F.lit("portfolio").alias("type"), F.concat(F.lit("https://p.example/"), (number % 9).cast("string")).alias("url")))
+    phones = F.array(F.concat(F.lit("+1415555"), F.lpad((number % 3000).cast("string"), 4, "0")))
+    raw = spark.range(20_000).select(*raw_columns(source_id=F.concat(F.lit("csv:"), (number % 4).cast("string")), source_type=F.lit("csv"), extracted_at=F.lit("2024-01-02T03:04:05").cast("timestamp_ntz"), full_name=F.lit("Ann Lee"), emails=F.array(F.lit("shared@x.org")), phones=phones, skills_raw=F.array(F.concat(F.lit("tool "), (number % 40).cast("string"))), experience=job, links=links, src_idx=F.lit(0), row_idx=number))
+    got = candidates(raw).collect()
+    assert len(got) == 1 and got[0]["emails"] == ["shared@x.org"] and len(got[0]["skills"]) == 40 and len(got[0]["experience"]) == 50
+    assert len(got[0]["phones"]) == len(set(got[0]["phones"])) and len(got[0]["sources_ingested"]) == 20_000
+    assert got[0]["links"]["portfolio"] == "https://p.example/0" and len(got[0]["links"]["other"]) == 9
+
+
+def test_profiles_fetched_by_links(spark):
+    class Answer:
+        status_code, headers = 200, {}
+
+        def __init__(self, body):
+            self.json = lambda: body
+
+    asked = []
+
+    def get(url, timeout):
+        asked.append(url)
+        return Answer([{"language": "Go", "size": 3, "fork": False}] if "repos" in url else {"name": "A B", "email": "a@x.org"})
+
+    source = fetched(spark, ["https://github.com/a-b/", "a-b", "https://github.com/orgs/x", "not a login"], Fetcher(get))
+    row = source.extract(spark, 0, AT).collect()
+    assert [(r["full_name"], r["skills_raw"]) for r in row] == [("A B", ["Go"])] and len(asked) == 2
