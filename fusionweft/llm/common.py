@@ -100,3 +100,12 @@ def clean(spark: SparkSession) -> None:
 def literal_rows(spark: SparkSession, rows: list[dict], kind: str) -> DataFrame:
     """A small table that is part of the plan. kind: struct<...> of the rows."""
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<{kind}>")))
+
+
+def tables() -> set[int]:
+    """Marks of the tables that are there now, for drop_marked()."""
+    return set(_paths)
+
+
+def drop_marked(marks: set[int]) -> None:
+    drop(*[df for mark, (df, _) in list(_paths.items()) if mark in marks])

@@ -52,7 +52,7 @@ SMALL = 12
 #: beyond their first nodes.
 OUTSIDE, DEEP_TREES = 1024, 8
 #: Members of a node, and shingles of them all, that a cell of `rest` holds of each side.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 22
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 _ODD = (np.random.default_rng(20240229).integers(0, 1 << 63, POSITIONS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 

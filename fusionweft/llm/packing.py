@@ -36,7 +36,7 @@ CELLS = 1024
 #: Words that a Python worker keeps with their ids, in each of two generations; what is kept changes no result.
 CACHE_WORDS = 150_000
 #: Bytes of texts that are encoded together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 
 
 #: What plain prose does not hold: characters other than Latin-1 letters, digits, blanks, line ends, dots and commas; and a dot
@@ -137,13 +137,14 @@ def encoder(vocabulary: str) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    """Each document's pieces: doc_id, piece, start, length, ids_crc32, and the ids themselves where asked for."""
+    """Each document's pieces: doc_id, piece, start, length, ids_crc32, and where asked for the ids (little-endian unsigned 32-bit
+    numbers in a binary, which costs neither the workers nor Spark an object for each token)."""
 
-    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = int(end_id).to_bytes(4, "little")
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * with_ids
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
         names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1).cast(pa.string()), "")
@@ -159,7 +160,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                     for k, first in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[first : first + 4 * capacity]
                         row = (doc_id, k, first // 4, len(part) // 4, zlib.crc32(part))
-                        rows.append((*row, np.frombuffer(part, "<u4").astype(np.int32)) if with_ids else row)
+                        rows.append((*row, part) if with_ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 at = to
 
@@ -266,7 +267,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
 
     vocabulary is the path of a `tokenizers` file that executors can open.
     """
-    cut = stored(pieces(docs, vocabulary, capacity, end_id, with_ids), "pieces")
+    whole = stored(pieces(docs, vocabulary, capacity, end_id, with_ids).withColumn("_own", F.monotonically_increasing_id()), "pieces", "zstd")
+    cut = whole.drop("ids")  # places are found without the ids, which join them at the end
     histogram = np.zeros(capacity + 1, np.int64)
     for row in cut.groupBy("length").count().collect():  # at most `capacity` rows
         histogram[row["length"]] = row["count"]
@@ -296,4 +298,5 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
             yield batch.assign(sequence_id=sequence, offset=offset)
 
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema) + ", copy int, sequence_id long, offset long"
-    return ranked.mapInPandas(put, kind)
+    placed = ranked.mapInPandas(put, kind)
+    return (placed.join(whole.select("_own", "ids"), "_own") if with_ids else placed).drop("_own")
