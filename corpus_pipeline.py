@@ -6,18 +6,40 @@ of `documents`.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fusionweft.llm import langid, linededup, mixing, neardup, packing
-from fusionweft.llm.common import stored, table
+from fusionweft.llm.common import drop_marked, stored, table, tables
 from fusionweft.llm.queries import vocabulary
 
 
+#: Of each stage the tables that its operators have left in the shared folder.
+_left: dict[str, set[int]] = {}
+
+
+def _stage(function):
+    """A stage that first deletes what other stages have left: its input, their result, has been written and read again."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for other in [name for name in _left if name != function.__name__]:
+            drop_marked(_left.pop(other))
+        before = tables()
+        out = function(spark, docs, sf_dir)
+        _left[function.__name__] = _left.get(function.__name__, set()) | (tables() - before)
+        return out
+
+    return run_stage
+
+
 def _like(docs: DataFrame, out: DataFrame) -> DataFrame:
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the model knows and sets `lang` to the prediction.
 
@@ -27,6 +49,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identified(docs, langid.fit_on_training_rows(docs))
 
 
+@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later repeated runs of lines; documents of which nothing is left go.
 
@@ -36,6 +59,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _like(docs, done.where((F.col("__removed") == 0) | (F.trim(F.translate("text", "\t\n\x0b\x0c\r", "     ")) != "")))
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates.
 
@@ -45,6 +69,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _like(docs, neardup.one_of_each(docs))
 
 
+@_stage
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats documents of small sources, up to twice; every document is used.
 
@@ -54,6 +79,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _like(docs, mixing.mix(docs, max_repeats=mixing.MAX_REPEATS))
 
 
+@_stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of 4096 tokens: token ids, place, and which copy of a document a piece belongs to.
 
