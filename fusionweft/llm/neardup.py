@@ -181,7 +181,9 @@ def crowds_and_children(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, D
     crowds = left.where(f"outside <= {OUTSIDE}").select("node", "set", "n", "sig")
     children = _children(left.where(f"outside > {OUTSIDE}").drop("outside"))
     again = children.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("node", "size")
-    return stored(crowds, "crowds"), stored(children.join(again, "node"), "level")
+    out = stored(crowds, "crowds"), stored(children.join(again, "node"), "level")
+    drop(large)
+    return out
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
@@ -265,7 +267,9 @@ def rest(crowds: DataFrame, roots: DataFrame, grams: DataFrame, percent: int = P
                         found.append((min(own, sets[k]), max(own, sets[k])))
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return outside.groupBy("node", "x", "y").cogroup(members.groupBy("node", "x", "y")).applyInPandas(compare, "a binary, b binary").distinct()
+    found = stored(outside.groupBy("node", "x", "y").cogroup(members.groupBy("node", "x", "y")).applyInPandas(compare, "a binary, b binary").distinct(), "more")
+    drop(there)
+    return found
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -284,12 +288,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         drop(rows)
         rows = after
         if crowds.limit(1).count():
-            roots = _joined(roots, stored(rest(crowds, roots, grams, percent), "more"))
+            roots = _joined(roots, rest(crowds, roots, grams, percent))
         drop(crowds)
         if not rows.limit(1).count():
             break
         if depth + 1 == DEPTH:
-            roots = _joined(roots, stored(rest(rows, roots, grams, percent), "more"))
+            roots = _joined(roots, rest(rows, roots, grams, percent))
             break
         pairs = stored(_screened(_met(rows), percent).join(tested, ["a", "b"], "left_anti"), "pairs")
         roots = _joined(roots, stored(confirmed(pairs, grams, percent), "confirmed"))
