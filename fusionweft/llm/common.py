@@ -71,12 +71,35 @@ def stored(df: DataFrame, tag: str, compression: str = "snappy") -> DataFrame:
     path = fresh_path(spark, tag)
     df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
-    _paths[id(out)] = out, path
+    _paths[id(out)] = out, path, None
     return out
 
 
-#: The tables that stored() has written, by the DataFrames that read them.
-_paths: dict[int, tuple[DataFrame, str]] = {}
+#: Bytes that a bucket of bucketed() is meant to hold, and the most buckets that Spark allows by default.
+BUCKET_BYTES, MOST_BUCKETS = 128 << 20, 100_000
+
+
+def buckets(spark: SparkSession, size: int) -> int:
+    """How many buckets a table of that many bytes gets. Never fewer than shuffles have partitions, else joins would shuffle the table."""
+    conf = spark.conf
+    least = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions")
+    return min(MOST_BUCKETS, max(int(least), -(-size // BUCKET_BYTES)))
+
+
+def bucketed(df: DataFrame, key: str, number: int, tag: str) -> DataFrame:
+    """stored(), in buckets by key: joins and aggregates on key read the table without shuffling it. df: partitioned by key into
+    that number already, so each task writes one file. The catalog names the table until drop()."""
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
+    name = path.rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(number, key).option("path", path).saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    _paths[id(out)] = out, path, name
+    return out
+
+
+#: The tables that stored() and bucketed() have written, by the DataFrames that read them: path, name in the catalog if any.
+_paths: dict[int, tuple[DataFrame, str, str | None]] = {}
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -85,15 +108,18 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def drop(*frames: DataFrame) -> None:
-    """Deletes tables of stored() that nothing will read any more."""
+    """Deletes tables of stored() and bucketed() that nothing will read any more."""
     for df in frames:
-        _delete(df.sparkSession, _paths.pop(id(df))[1])
+        _, path, name = _paths.pop(id(df))
+        if name:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
+        _delete(df.sparkSession, path)
 
 
 def clean(spark: SparkSession) -> None:
     """Deletes all that this driver's operators have left in the shared folder. Results of operators are computed when they
     are read, so call it once those have been written."""
-    for df, _ in list(_paths.values()):
+    for df, *_ in list(_paths.values()):
         drop(df)
 
 
@@ -108,4 +134,4 @@ def tables() -> set[int]:
 
 
 def drop_marked(marks: set[int]) -> None:
-    drop(*[df for mark, (df, _) in list(_paths.items()) if mark in marks])
+    drop(*[df for mark, (df, *_) in list(_paths.items()) if mark in marks])

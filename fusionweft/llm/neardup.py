@@ -18,7 +18,8 @@ level. What is left of them after `DEPTH` levels is compared in the same cells.
 Pairs are first screened by their sizes (exactly) and by the share of minwise tokens they agree on, less five standard
 deviations. Those that remain are confirmed on the full sets, which are computed again from the texts of the documents concerned
 alone. Confirming the first level's pairs, which are most of all, goes in two rounds: first each set with the one that it agrees
-with most, then only pairs that this left unconnected. So a set travels about twice, not once for each pair that it is in.
+with most, then only pairs that this left unconnected. So a set travels about twice, not once for each pair that it is in. The
+sets are a table in buckets, which no later join shuffles.
 
 Recall: of a pair at the threshold, let f be the share of tokens that many other texts have as well. Its first nodes are small with
 probability 0.75 - f, so `TREES` = 20 trees miss it there with probability (0.25 + f) ** 20: never in ordinary text, in 1 case of
@@ -42,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest
 
-from .common import drop, ready, stored
+from .common import bucketed, buckets, drop, ready, stored
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -186,8 +187,8 @@ def crowds_and_children(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, D
     return out
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
-    """set and grams (the shingles' hashes) of the documents named in ids (doc_id, distinct); a row for each set."""
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS, parts: int = 1) -> DataFrame:
+    """set and grams (the shingles' hashes) of the documents named in ids (doc_id, distinct); a row for each set, in parts by set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -195,7 +196,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFra
             yield pd.DataFrame({"set": [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in grams], "grams": [g.tobytes() for g in grams]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select("text")
-    return ready(texts).mapInPandas(run, "set binary, grams binary").dropDuplicates(["set"])
+    return ready(texts).mapInPandas(run, "set binary, grams binary").repartition(parts, "set").dropDuplicates(["set"])
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -243,11 +244,15 @@ def rest(crowds: DataFrame, roots: DataFrame, grams: DataFrame, percent: int = P
     mixed = parts.groupBy("node").agg(top, F.sum("c").alias("c"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
     mixed = mixed.select("node", F.col("m.root").alias("main"), blocks(F.col("c"), F.col("s")).alias("wide"), blocks(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("high"))
-    there = stored(rows.join(mixed, "node").join(grams, "set").withColumn("out", F.col("root") != F.col("main")), "mixedrows")
+    there = stored(rows.join(mixed, "node").withColumn("out", F.col("root") != F.col("main")), "mixedrows")
     own = lambda n: F.pmod(F.xxhash64("set"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    members = there.select("node", own(F.col("wide")).alias("x"), every(F.col("high")).alias("y"), "set", "n", "sig", "root", "grams", "out")
-    outside = there.where("out").select("node", every(F.col("wide")).alias("x"), own(F.col("high")).alias("y"), "set", "n", "sig", "root", "grams")
+    members = there.join(grams, "set").select("node", own(F.col("wide")).alias("x"), every(F.col("high")).alias("y"), "set", "n", "sig", "root", "grams", "out")
+    outside = there.where("out").select("node", every(F.col("wide")).alias("x"), own(F.col("high")).alias("y"), "set", "n", "sig", "root", own(F.col("wide")).alias("home"))
+    # those that are among the members of their cell travel with these alone
+    near = outside.where("x = home").withColumns({"sig": F.lit(None).cast("binary"), "grams": F.lit(None).cast("binary")}).drop("home")
+    far = outside.where("x != home").drop("home").join(grams, "set").select(*near.columns)
+    outside = near.union(far).toDF(*near.columns)
     least = screen(percent)
 
     def compare(out: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
@@ -257,9 +262,11 @@ def rest(crowds: DataFrame, roots: DataFrame, grams: DataFrame, percent: int = P
             twice = have["out"].to_numpy()
             sigs = np.frombuffer(b"".join(have["sig"].tolist()), "<u4").reshape(-1, POSITIONS)
             grams = [np.frombuffer(g, "<u8") for g in have["grams"].tolist()]
+            place = {own: k for k, own in enumerate(sets)}
             for own, size, sig, root, full in zip(out["set"], out["n"], out["sig"], out["root"], out["grams"], strict=True):
-                fits = (100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & ((sigs == np.frombuffer(sig, "<u4")).mean(axis=1) >= least)
-                met, whole = {root}, np.frombuffer(full, "<u8")
+                sig, whole = (sigs[place[own]], grams[place[own]]) if full is None else (np.frombuffer(sig, "<u4"), np.frombuffer(full, "<u8"))
+                fits = (100 * np.minimum(n, size) >= percent * np.maximum(n, size)) & ((sigs == sig).mean(axis=1) >= least)
+                met = {root}
                 for k in np.flatnonzero(fits):
                     # two members outside meet in two cells or both ways in one; the one way is enough
                     if roots[k] not in met and not (twice[k] and sets[k] < own) and _alike(whole, grams[k], percent):
@@ -281,7 +288,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     pairs = tested = stored(_screened(_met(rows), percent), "pairs")
     # the sets of all that deeper levels and `rest` can ask for
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(rows.where(f"size > {SMALL} and tree < {DEEP_TREES}").select("set")).distinct()
-    grams = stored(shingle_sets(docs, classes.join(wanted, "set", "left_semi").select(F.col("rep").alias("doc_id")), words), "grams")
+    asked = stored(classes.join(wanted, "set", "left_semi").select(F.col("rep").alias("doc_id"), "n"), "asked")
+    parts = buckets(docs.sparkSession, 8 * (asked.agg(F.sum("n")).head()[0] or 0))
+    grams = bucketed(shingle_sets(docs, asked.select("doc_id"), words, parts), "set", parts, "grams")
+    drop(asked)
     roots = linked(pairs, grams, percent)
     for depth in range(DEPTH):
         crowds, after = crowds_and_children(rows, roots)

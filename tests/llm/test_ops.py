@@ -70,7 +70,9 @@ def test_near_duplicates_of_a_large_crowd(spark, monkeypatch):
     assert found == brute.near(rows)
 
 
-def test_rest_links_what_stars_missed(spark):
+@pytest.mark.parametrize("block", [neardup.BLOCK, 7])
+def test_rest_links_what_stars_missed(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rows = [(i, " ".join(f"w{j}" if j != i else "odd" for j in range(100))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     signed = neardup.signatures(df).cache()
