@@ -54,6 +54,8 @@ SMALL = 12
 OUTSIDE, DEEP_TREES = 1024, 8
 #: Members of a node, and shingles of them all, that a cell of `rest` holds of each side.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: Bits of the bitmaps of documents whose sets are asked for: 16 MB.
+MOST_BITS = 1 << 27
 _ODD = (np.random.default_rng(20240229).integers(0, 1 << 63, POSITIONS, np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
@@ -187,6 +189,19 @@ def crowds_and_children(rows: DataFrame, roots: DataFrame) -> tuple[DataFrame, D
     return out
 
 
+def possible(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """doc_id, text of the rows of docs whose doc_id may be among ids (count rows of doc_id): all that are, and few others, so few
+    texts are shuffled by the exact join that follows. The bitmaps, of 4 kB each, take `MOST_BITS` bits at most, whatever the input;
+    from an eighth of that in ids on they let more rows through, never fewer than asked for."""
+    bits = 1 << max(15, min(MOST_BITS.bit_length() - 1, (16 * count).bit_length()))
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    maps = ids.select(hashed.alias("h")).groupBy(F.expr("h div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("h") % 32768).alias("map"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("h", hashed)
+    byte = F.conv(F.hex(F.substring("map", F.expr("cast(h % 32768 div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    there = F.getbit(byte, (F.col("h") % 8).cast("int")) == 1
+    return rows.join(F.broadcast(maps), F.expr("h div 32768 = part") & there, "left_semi").drop("h")
+
+
 def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS, parts: int = 1) -> DataFrame:
     """set and grams (the shingles' hashes) of the documents named in ids (doc_id, distinct); a row for each set, in parts by set."""
 
@@ -289,8 +304,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # the sets of all that deeper levels and `rest` can ask for
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).union(rows.where(f"size > {SMALL} and tree < {DEEP_TREES}").select("set")).distinct()
     asked = stored(classes.join(wanted, "set", "left_semi").select(F.col("rep").alias("doc_id"), "n"), "asked")
-    parts = buckets(docs.sparkSession, 8 * (asked.agg(F.sum("n")).head()[0] or 0))
-    grams = bucketed(shingle_sets(docs, asked.select("doc_id"), words, parts), "set", parts, "grams")
+    count, shingled = asked.agg(F.count(F.lit(1)), F.sum("n")).head()
+    parts = buckets(docs.sparkSession, 8 * (shingled or 0))
+    ids = asked.select("doc_id")
+    grams = bucketed(shingle_sets(possible(docs, ids, count), ids, words, parts), "set", parts, "grams")
     drop(asked)
     roots = linked(pairs, grams, percent)
     for depth in range(DEPTH):

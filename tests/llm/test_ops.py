@@ -70,6 +70,18 @@ def test_near_duplicates_of_a_large_crowd(spark, monkeypatch):
     assert found == brute.near(rows)
 
 
+@pytest.mark.parametrize("most", [neardup.MOST_BITS, 1 << 15])
+def test_bitmaps_let_all_asked_for_through(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "MOST_BITS", most)
+    docs = spark.range(60000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit(1).alias("map"))
+    docs = docs.union(spark.createDataFrame([(None, "t", 1), (7, None, 1)], "doc_id long, text string, map int"))
+    ids = spark.range(0, 60000, 7).select(F.col("id").alias("doc_id"))
+    got = [r["doc_id"] for r in neardup.possible(docs, ids, ids.count()).select("doc_id").collect()]
+    assert {i for i in got if i is not None} >= set(range(0, 60000, 7)) and got.count(7) == 2
+    assert len(got) < (12000 if most > 1 << 15 else 24000)
+    assert neardup.possible(docs, ids.limit(0), 0).count() == 0
+
+
 @pytest.mark.parametrize("block", [neardup.BLOCK, 7])
 def test_rest_links_what_stars_missed(spark, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
