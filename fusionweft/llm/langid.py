@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ready
+from .common import lean, ready
 
 #: Hashed n-grams: 2 ** BITS numbers for each language, whatever the corpus.
 BITS = 15
@@ -82,7 +82,7 @@ def fit(docs: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray]:
             yield pd.DataFrame({"lang": lang, "part": at >> 8, "at": at & 255, "n": total[at]})
 
     labelled = ready(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string"))
-    counts = labelled.mapInPandas(count, "lang string, part int, at int, n long").groupBy("lang", "part", "at").agg(F.sum("n").alias("n"))
+    counts = labelled.mapInPandas(lean(count), "lang string, part int, at int, n long").groupBy("lang", "part", "at").agg(F.sum("n").alias("n"))
     packed = counts.groupBy("lang", "part").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))  # at most 256 each
     model: dict[str, np.ndarray] = {}
     for row in packed.toLocalIterator():
@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
             out["shares"] = pd.Series([g[2] for g in got], dtype=object)
             yield out.assign(noise=[g[3] for g in got])
 
-    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double, shares map<string,double>, noise double")
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(lean(run), "doc_id long, lang_pred string, score double, shares map<string,double>, noise double")
 
 
 def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], most_noise: float = 0.5) -> DataFrame:
@@ -168,7 +168,7 @@ def identified(docs: DataFrame, model: tuple[list[str], np.ndarray], most_noise:
             found = pa.array([None if g[0] == UNKNOWN or g[3] > most_noise else g[0] for g in got], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "__lang"])
 
-    told = ready(docs).mapInArrow(run, kind).where("__lang is not null")
+    told = ready(docs).mapInArrow(lean(run), kind).where("__lang is not null")
     return told.select(*[F.col("__lang").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 

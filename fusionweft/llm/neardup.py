@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_digest
 
-from .common import bucketed, buckets, drop, ready, stored
+from .common import bucketed, buckets, drop, lean, ready, stored
 from .components import components
 
 WORDS, PERCENT = 5, 75
@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": sizes, "set": sets, "sig": sigs})
 
     texts = ready(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-    return texts.mapInPandas(run, "doc_id long, text_hash long, n_shingles long, set binary, sig binary")
+    return texts.mapInPandas(lean(run), "doc_id long, text_hash long, n_shingles long, set binary, sig binary")
 
 
 def _token(position: Column) -> Column:
@@ -153,7 +153,7 @@ def _screened(pairs: DataFrame, percent: int) -> DataFrame:
 
     fits = pairs.where(f"100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n) and a.root != b.root")
     flat = fits.select(F.col("a.set").alias("a"), F.col("b.set").alias("b"), F.col("a.sig").alias("sa"), F.col("b.sig").alias("sb"))
-    screened = flat.mapInPandas(run, "a binary, b binary, like double")
+    screened = flat.mapInPandas(lean(run), "a binary, b binary, like double")
     return screened.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "like").distinct()
 
 
@@ -211,7 +211,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, words: int = WORDS, parts: int
             yield pd.DataFrame({"set": [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in grams], "grams": [g.tobytes() for g in grams]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").select("text")
-    return ready(texts).mapInPandas(run, "set binary, grams binary").repartition(parts, "set").dropDuplicates(["set"])
+    return ready(texts).mapInPandas(lean(run), "set binary, grams binary").repartition(parts, "set").dropDuplicates(["set"])
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -229,7 +229,7 @@ def confirmed(pairs: DataFrame, grams: DataFrame, percent: int = PERCENT) -> Dat
 
     left = grams.select(F.col("set").alias("a"), F.col("grams").alias("ga"))
     right = grams.select(F.col("set").alias("b"), F.col("grams").alias("gb"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInPandas(run, "a binary, b binary")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ga", "gb").mapInPandas(lean(run), "a binary, b binary")
 
 
 def linked(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ready, stored
+from .common import lean, ready, stored
 
 CAPACITY = 4096
 END_ID = 1
@@ -164,7 +164,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                 at = to
 
-    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
+    return ready(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), kind)
 
 
 class Sums:

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -533,6 +534,29 @@ def test_mixing_equals_a_replay(docs, repeats):
     assert {(r["doc_id"], r["__epoch"]) for r in rows} == {(k, e) for k, v in want.items() for e in range(v)}
 
 
+def test_words_are_counted_without_garbage(spark):
+    long = spark.range(20).selectExpr("repeat(concat('word', id, ', '), 50000) AS text")
+    bean = spark._jvm.java.lang.management.ManagementFactory.getThreadMXBean()
+    for _ in range(2):  # the first time code is compiled
+        before = bean.getTotalThreadAllocatedBytes()
+        assert long.agg(F.sum(mixing.words(F.col("text")))).head()[0] == 20 * 50_000
+        made = bean.getTotalThreadAllocatedBytes() - before
+    assert made < 30 * sum(50_000 * (6 + len(str(i))) for i in range(20))
+    odd = [None, "", " ", "\t\n\x0b\x0c\r ", "x", " xx\n", "a\tb", "\u3000 \xa0", "a\x00b \x01", "\U0001f600 \U0001f600", " " * 400_000, " a" * 200_000, "\x1c \x85", "$1 \\ x"]
+    got = spark.createDataFrame(list(enumerate(odd)), "i int, text string").select("i", mixing.words(F.col("text"))).collect()
+    assert dict(map(tuple, got)) == {i: len(re.findall(r"[^ \t\n\x0b\x0c\r]+", s or "")) for i, s in enumerate(odd)}
+
+
+def test_workers_hand_memory_back(monkeypatch):
+    done = []
+    monkeypatch.setattr(common, "_hand_back", lambda: done.append(1))
+    assert list(common.lean(lambda batches: (b + 1 for b in batches))(iter([1, 2]))) == [2, 3] and done == [1]
+    stopped = common.lean(lambda batches: (b for b in batches))(iter([1, 2]))
+    next(stopped)
+    stopped.close()  # as where a task needs no more rows
+    assert done == [1, 1]
+
+
 def test_mixing_without_ids_spreads_by_text(spark):
     rows = [(None, f"word{i} and more", "a") for i in range(90)] + [(i, "some words here", "b") for i in range(10)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), budget=200, max_repeats=None).groupBy("source").count().collect()
