@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value evaluated once, which keeps nested CASE chains from growing without bound."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """body(value) with value evaluated once, which keeps nested CASE chains from growing without bound. An aggregate of nothing: its
+    start is handed to its finish as it is, whereas a transform of a one-item array copies what the body returns, at every level."""
+    return F.aggregate(F.array(), value, lambda kept, _: kept, body)
+
+
+#: White space in the Unicode sense, and the separators 28 to 31.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    """Without white space at both ends; white space in the Unicode sense, as well as the separators 28 to 31."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    """Without white space at both ends. A pattern would be tried at every character."""
+    return F.btrim(text, F.lit(WHITE))
 
 
 def blank_to_null(text: Column) -> Column:

@@ -34,7 +34,7 @@ def _experience(items: Column, source: Column) -> Column:
 
     def entry(e: Column) -> Column:
         company, title = strip(F.coalesce(e["company"], F.lit(""))), strip(F.coalesce(e["title"], F.lit("")))
-        start = F.when(e["start"] != "", let(dates.date_range(e["start"])["start"], lambda s: F.coalesce(s, dates.date(e["start"])["value"])))
+        start = F.when(e["start"] != "", dates.start(e["start"]))
         end = F.when(e["end"] != "", dates.date(e["end"]))
         built = lambda s, d: F.struct(company.alias("company"), title.alias("title"), s.alias("start"), F.when(~d["current"], d["value"]).alias("end"), (F.coalesce(e["is_current"], F.lit(False)) | F.coalesce(d["current"], F.lit(False))).alias("is_current"), e["summary"].alias("summary"), source.alias("source"), F.concat_ws("|", squeezed(company), squeezed(title), F.coalesce(s, F.lit(""))).alias("key"))
         return let(start, lambda s: let(end, lambda d: built(s, d)))
@@ -104,21 +104,34 @@ def normalised(raw: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: up to so many entries, looking for equal ones one by one is quicker than sorting; it bounds the square.
+FEW = 64
+
+
+def _heads(keys: Column, entries: Column) -> Column:
+    """The entries whose key is not that of an earlier one."""
+    return F.filter(entries, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)
+
+
 def _groups(items: Column, key) -> Column:
-    """The entries (with their places: struct<k, i, x>) of equal keys, in order, as an array for each key. By sorting, so that the work
-    grows with n log n however many records a candidate has."""
+    """The entries (with their places: struct<k, i, x>) of equal keys (key(entry, place), never null), in order, as an array for each
+    key. Many are sorted, so that the work grows with n log n however many records a candidate has."""
     new = lambda s: F.filter(F.transform(s, lambda x, j: F.when((j == 0) | ~F.get(s, j - 1)["k"].eqNullSafe(x["k"]), j)), lambda j: j.isNotNull())
     cut = lambda s, at: F.transform(at, lambda j, g: F.slice(s, j + 1, F.coalesce(F.get(at, g + 1), F.size(s)) - j))
-    keyed = lambda all_: F.sort_array(F.transform(all_, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"))))
+    keyed = lambda all_: F.sort_array(F.transform(all_, lambda x, i: F.struct(key(x, i).alias("k"), i.alias("i"))))
     full = lambda all_, s: F.transform(s, lambda e: F.struct(e["k"].alias("k"), e["i"].alias("i"), F.get(all_, e["i"]).alias("x")))
-    return let(items, lambda all_: let(keyed(all_), lambda s: let(full(all_, s), lambda f: let(new(f), lambda at: cut(f, at)))))
+    many = lambda all_: let(keyed(all_), lambda s: let(full(all_, s), lambda f: let(new(f), lambda at: cut(f, at))))
+    entries = lambda all_: F.transform(all_, lambda x, i: F.struct(key(x, i).alias("k"), i.alias("i"), x.alias("x")))
+    same = lambda e: F.transform(_heads(e["k"], e), lambda h: F.filter(e, lambda x: x["k"] == h["k"]))
+    return let(items, lambda all_: F.when(F.size(all_) <= FEW, let(entries(all_), same)).otherwise(many(all_)))
 
 
 def _first_of(items: Column, key) -> Column:
     """The entries whose key has not occurred before."""
     first = lambda g: F.get(g, F.lit(0))
-    placed = F.sort_array(F.transform(_groups(items, key), lambda g: F.struct(first(g)["i"].alias("i"), first(g)["x"].alias("x"))))
-    return F.transform(placed, lambda e: e["x"])
+    placed = lambda all_: F.sort_array(F.transform(_groups(all_, key), lambda g: F.struct(first(g)["i"].alias("i"), first(g)["x"].alias("x"))))
+    few = lambda all_: let(F.transform(all_, key), lambda keys: _heads(keys, all_))
+    return let(items, lambda all_: F.when(F.size(all_) <= FEW, few(all_)).otherwise(F.transform(placed(all_), lambda e: e["x"])))
 
 
 def _winner(facts: Column, field: str) -> Column:
@@ -136,7 +149,7 @@ def _skills(items: Column) -> Column:
             lambda c: F.struct((-c).alias("o"), first["i"].alias("i"), F.struct(first["k"].alias("name"), every("raw").alias("aliases_seen"), c.alias("confidence"), every("source").alias("sources")).alias("s")),
         )
 
-    return F.transform(F.sort_array(F.transform(_groups(items, lambda s: s["name"]), fused)), lambda x: x["s"])
+    return F.transform(F.sort_array(F.transform(_groups(items, lambda s, _: s["name"]), fused)), lambda x: x["s"])
 
 
 def _merged_experience(items: Column) -> Column:
@@ -148,12 +161,12 @@ def _merged_experience(items: Column) -> Column:
         named = F.aggregate(F.slice(sources, F.lit(2), F.size(sources)), F.get(sources, F.lit(0)), lambda all_, s: F.when(all_.contains(s), all_).otherwise(F.concat(all_, F.lit(","), s)))
         return F.struct(F.coalesce(first["x"]["start"], F.lit("0000")).alias("o"), (-first["i"]).alias("i"), first["x"].withField("source", named).dropFields("key").alias("e"))
 
-    keyed = F.transform(_groups(items, lambda e: e["key"]), folded)
+    keyed = F.transform(_groups(items, lambda e, _: e["key"]), folded)
     return F.transform(F.sort_array(keyed, asc=False), lambda x: x["e"]).cast(EXPERIENCE)
 
 
 def _merged_education(items: Column) -> Column:
-    once = _first_of(items, lambda e: F.struct(F.lower(e["institution"]), e["end_year"]))
+    once = _first_of(items, lambda e, _: F.struct(F.lower(e["institution"]), e["end_year"]))
     keyed = F.transform(once, lambda e, i: F.struct(F.coalesce(e["end_year"], F.lit(0)).alias("o"), (-i).alias("i"), e.alias("e")))
     return F.transform(F.sort_array(keyed, asc=False), lambda x: x["e"]).cast(EDUCATION)
 
@@ -177,6 +190,14 @@ def _placed_links(items: Column) -> Column:
     return let(of_kind("linkedin"), lambda li: let(of_kind("github"), lambda gh: let(portfolio(li, gh), lambda pf: told(li, gh, pf))))
 
 
+def spread(raw: DataFrame, *key: str) -> DataFrame:
+    """The records dealt evenly over tasks by a key that few share. Normalising takes long for its bytes, and tables that compress well
+    (or files that cannot be split) come as a few tasks. The number is given, as Spark would join small partitions again: that of
+    shuffle partitions, or less where so many tasks would only take time to start."""
+    spark = raw.sparkSession
+    return raw.repartition(min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(64, 4 * spark.sparkContext.defaultParallelism)), *key)
+
+
 def merge(raw: DataFrame) -> DataFrame:
     """One row for each candidate, without its score. `_first` is the place of its first record, which output is ordered by."""
     return merge_normalised(normalised(raw))
@@ -184,32 +205,38 @@ def merge(raw: DataFrame) -> DataFrame:
 
 def merge_normalised(rows: DataFrame) -> DataFrame:
     """merge() of rows that normalised() has made."""
-    item = F.struct("prio", "src_idx", "row_idx", "source_id", "extracted_at", "facts", "skills", "experience", "education", "links")
-    groups = rows.groupBy("candidate_id").agg(F.sort_array(F.collect_list(item)).alias("r"), F.max("extracted_at").alias("created_at"))
-    flat = lambda name: F.flatten(F.transform("r", lambda x: x[name]))
-    ordered = F.sort_array(F.transform("r", lambda x: F.struct(x["src_idx"], x["row_idx"], x["source_id"].alias("source_id"))))
+    # lists that are pruned by themselves: what a query does not ask for is neither normalised nor shuffled
+    listed = lambda *parts: F.sort_array(F.collect_list(F.struct("prio", "src_idx", "row_idx", "source_id", "extracted_at", *parts)))
+    groups = rows.groupBy("candidate_id").agg(
+        listed("facts").alias("f"),
+        listed("skills").alias("s"),
+        listed("experience", "education", "links").alias("r"),
+        F.min(F.struct("src_idx", "row_idx")).alias("_first"),
+        F.max("extracted_at").alias("created_at"),
+    )
+    flat = lambda name, part: F.flatten(F.transform(name, lambda x: x[part]))
+    ordered = F.sort_array(F.transform("f", lambda x: F.struct(x["src_idx"], x["row_idx"], x["source_id"].alias("source_id"))))
     parts = groups.select(
         "candidate_id",
         "created_at",
-        F.array_min(F.transform("r", lambda x: F.struct(x["src_idx"].alias("src_idx"), x["row_idx"].alias("row_idx")))).alias("_first"),
+        "_first",
         F.transform(ordered, lambda x: x["source_id"]).alias("sources_ingested"),
-        flat("facts").alias("f"),
-        flat("skills").alias("s"),
-        flat("experience").alias("x"),
-        flat("education").alias("e"),
-        flat("links").alias("l"),
+        flat("f", "facts").alias("f"),
+        flat("s", "skills").alias("s"),
+        flat("r", "experience").alias("x"),
+        flat("r", "education").alias("e"),
+        flat("r", "links").alias("l"),
     )
     # a value counts once among e-mails and phones; of other fields every fact does
-    numbered = F.transform("f", lambda f, i: f.withField("own", F.when(~f["field"].isin("emails", "phones"), i)))
-    parts = parts.withColumn("f", _first_of(numbered, lambda f: F.struct(f["field"], f["normalized_value"], f["own"])))
+    parts = parts.withColumn("f", _first_of(F.col("f"), lambda f, i: F.when(f["field"].isin("emails", "phones"), F.concat(f["field"], F.lit(":"), f["normalized_value"])).otherwise(i.cast("string"))))
     for field in ("full_name", "location", "headline"):
         parts = parts.withColumn(f"w_{field}", _winner(F.col("f"), field))
 
     def shown(f: Column) -> Column:
-        beaten = F.lit(None).cast("string")
-        for field in ("full_name", "location", "headline"):
-            beaten = F.when((f["field"] == field) & (f["source"] != F.col(f"w_{field}.source")), F.concat(F.lit("source_priority:"), F.col(f"w_{field}.source"), F.lit("_wins"))).otherwise(beaten)
-        return F.struct(f["field"].alias("field"), f["source"].alias("source"), f["method"].alias("method"), f["raw_value"].alias("raw_value"), f["normalized_value"].alias("normalized_value"), py_round3(F.least(f["conf"], F.lit(1.0))).alias("confidence"), f["extracted_at"].alias("extracted_at"), beaten.isNotNull().alias("conflict"), beaten.alias("conflict_resolution"))
+        won = F.when(f["field"] == "full_name", F.col("w_full_name.source")).when(f["field"] == "location", F.col("w_location.source")).when(f["field"] == "headline", F.col("w_headline.source"))
+        beaten = let(won, lambda w: F.when(f["source"] != w, F.concat(F.lit("source_priority:"), w, F.lit("_wins"))))
+        entry = lambda b: F.struct(*[f[n].alias(n) for n in ("field", "source", "method", "raw_value", "normalized_value")], py_round3(F.least(f["conf"], F.lit(1.0))).alias("confidence"), f["extracted_at"].alias("extracted_at"), b.isNotNull().alias("conflict"), b.alias("conflict_resolution"))
+        return let(beaten, entry)
 
     values = lambda field: F.sort_array(F.transform(F.filter("f", lambda f: f["field"] == field), lambda f: f["normalized_value"]))
     return parts.select(

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import merge
+from ..operators.merge import merge, spread
 from ..operators.projection import project
 from ..operators.score import with_score
 from ..operators.validate import schema_errors, semantic_warnings
@@ -87,5 +87,5 @@ class Pipeline:
                 failures[f"{k}:{source.source_type}"] = str(e)[:500]
         none = spark.createDataFrame([], ", ".join(f"{n} {t}" for n, t in RAW.items()))
         raw = reduce(DataFrame.unionByName, parts) if parts else none
-        rows = view(candidates(raw), self.config, at.year, self.compat)
+        rows = view(candidates(spread(raw, "src_idx", "row_idx")), self.config, at.year, self.compat)
         return Result(rows, uuid.uuid4().hex[:8], at, len(self.sources), failures)

@@ -16,7 +16,7 @@ from ..functions import dates, people, places, skills, urls
 from ..functions.core import py_round3, py_title
 from ..operators import facts as fact_rows
 from ..operators.identity import hash_id, uuid5_id, with_identity
-from ..operators.merge import merge
+from ..operators.merge import merge, spread
 from ..operators.projection import project
 from ..operators.score import WEIGHTS, with_score
 from ..operators.validate import schema_errors, semantic_warnings
@@ -381,7 +381,7 @@ def three(d: DataFrame) -> DataFrame:
         source_id=F.concat(kind, F.lit(":x")), source_type=kind, extracted_at=F.lit("2024-01-02T03:04:05").cast("timestamp_ntz"), full_name=F.col("name"), emails=some("e1", "e2"), phones=some("phone"), location_raw=F.col("place"), headline=F.col("headline"),
         skills_raw=split_skills(F.col("skills")), experience=F.when(F.col("company").isNotNull(), F.array(job)), education=F.when(F.col("school").isNotNull(), F.array(school)), links=F.array(F.struct(F.lit("x").alias("type"), F.col("link").alias("url"))), src_idx=s, row_idx=F.col("k"),
     )
-    return d.select(*raw_columns(**given))
+    return spread(d, "s", "k").select(*raw_columns(**given))
 
 
 _ID = "substr(sha256('user' || k || '@example.com'), 1, 16)"
