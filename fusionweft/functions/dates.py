@@ -47,6 +47,22 @@ def date(raw: Column) -> Column:
     return let(F.lower(strip(raw)), forms)
 
 
+def _sides(raw: Column) -> Column:
+    """struct<a, b> of what stands before and after the separator; null without one."""
+    cut = None
+    for sep in SEPARATORS:
+        at = F.instr(raw, sep)
+        sides = F.struct(F.left(raw, at - 1).alias("a"), F.substring(raw, at + len(sep), F.length(raw)).alias("b"))
+        cut = F.when(at > 0, sides) if cut is None else cut.when(at > 0, sides)
+    return cut
+
+
+def start(raw: Column) -> Column:
+    """The start of a range, or else the value of the text as one date; no end is looked at."""
+    whole = date(raw)["value"]
+    return let(_sides(raw), lambda c: F.when(c.isNull(), whole).otherwise(F.coalesce(date(c["a"])["value"], whole)))
+
+
 def date_range(raw: Column) -> Column:
     """struct<start, end, current, conf>."""
 
@@ -54,10 +70,5 @@ def date_range(raw: Column) -> Column:
         conf = F.when(end["current"], start["conf"]).otherwise(F.least(start["conf"], end["conf"]))
         return F.struct(start["value"].alias("start"), end["value"].alias("end"), end["current"].alias("current"), conf.alias("conf"))
 
-    cut = None
-    for sep in SEPARATORS:
-        at = F.instr(raw, sep)
-        sides = F.struct(F.left(raw, at - 1).alias("a"), F.substring(raw, at + len(sep), F.length(raw)).alias("b"))
-        cut = F.when(at > 0, sides) if cut is None else cut.when(at > 0, sides)
     alone = lambda d: F.struct(d["value"].alias("start"), F.lit(None).cast("string").alias("end"), d["current"].alias("current"), d["conf"].alias("conf"))
-    return let(cut, lambda c: F.when(c.isNull(), let(date(raw), alone)).otherwise(let(date(c["a"]), lambda a: let(date(c["b"]), lambda b: ends(a, b)))))
+    return let(_sides(raw), lambda c: F.when(c.isNull(), let(date(raw), alone)).otherwise(let(date(c["a"]), lambda a: let(date(c["b"]), lambda b: ends(a, b)))))

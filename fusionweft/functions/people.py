@@ -34,7 +34,8 @@ def title_name(name: Column) -> Column:
 
 def name(raw: Column) -> Column:
     """Annotations in parentheses dropped, `Last, First` turned round (confidence 0.9), title case."""
-    clean = F.regexp_replace(strip(F.regexp_replace(strip(raw), r"\(.*?\)", "")), r"(?U)\s{2,}", " ")
+    noted = lambda n: F.when(n.contains("("), strip(F.regexp_replace(n, r"\(.*?\)", ""))).otherwise(n)
+    clean = F.regexp_replace(let(strip(raw), noted), r"(?U)\s{2,}", " ")
 
     def turned(n: Column) -> Column:
         parts = F.split(n, ",", 2)
@@ -48,7 +49,7 @@ def name(raw: Column) -> Column:
 def email(raw: Column) -> Column:
     """`mailto:` and angle brackets dropped, lower case; the local part ends at the first `@`."""
     bare = F.regexp_replace(strip(raw), r"(?i)^mailto:", "")
-    bare = strip(F.regexp_replace(bare, r"^<(.+)>$", "$1"))
+    bare = let(bare, lambda e: F.when(e.contains("<"), strip(F.regexp_replace(e, r"^<(.+)>$", "$1"))).otherwise(strip(e)))
 
     def judged(e: Column) -> Column:
         at = F.instr(e, "@")
@@ -81,7 +82,8 @@ def base_address(address: Column) -> Column:
 
 def phone(raw: Column, region: str = "US") -> Column:
     """`+` and digits by international prefix (0.6) or, for ten or eleven digits, the default region (0.5)."""
-    bare = strip(F.regexp_replace(strip(raw), r"(?Ui)\s*(ext\.?|x)\s*\d+$", ""))
+    extended = lambda p: F.when(F.lower(p).contains("x"), strip(F.regexp_replace(p, r"(?Ui)\s*(ext\.?|x)\s*\d+$", ""))).otherwise(p)
+    bare = let(strip(raw), extended)
 
     def judged(p: Column, d: Column) -> Column:
         n, home = F.length(d), F.lit(region.upper() == "US")

@@ -19,7 +19,7 @@ COUNTRIES = {
 
 def state(text: Column) -> Column:
     code = F.upper(strip(text))
-    return F.coalesce(lookup(STATES, F.lower(strip(text))), lookup({c: c for c in STATES.values()}, code))
+    return let(code, lambda c: F.coalesce(F.when(c.isin(*STATES.values()), c), lookup(STATES, F.lower(strip(text)))))
 
 
 def country(text: Column) -> Column:
@@ -35,21 +35,18 @@ def location(raw: Column) -> Column:
 
     def judged(r: Column, p: Column) -> Column:
         a, b, last = strip(F.get(p, F.lit(0))), strip(F.get(p, F.lit(1))), strip(F.element_at(p, -1))
-        known = F.struct(country(a).alias("land"), state(b).alias("state"), country(b).alias("second"), country(last).alias("last"), py_title(a).alias("city"), py_title(b).alias("region"))
-
-        def chosen(k: Column) -> Column:
-            return (
-                F.when(F.coalesce(r == "", F.lit(True)), place(F.lit(""), 0.0))
-                .when(r.rlike(r"(?Ui)\bremote\b"), place(r, 0.7))
-                .when((F.size(p) == 1) & k["land"].isNotNull(), place(r, 0.8, land=k["land"]))
-                .when(F.size(p) == 1, place(r, 0.5, city=k["city"]))
-                .when((F.size(p) == 2) & k["state"].isNotNull(), place(r, 0.95, k["city"], k["state"], F.lit("US")))
-                .when((F.size(p) == 2) & k["second"].isNotNull(), place(r, 0.9, k["city"], land=k["second"]))
-                .when(F.size(p) == 2, place(r, 0.75, k["city"], k["region"]))
-                .otherwise(place(r, 0.9, k["city"], F.coalesce(k["state"], k["region"]), k["last"]))
-            )
-
-        return let(known, chosen)
+        city = py_title(a)
+        # only what a branch needs is looked up in it
+        alone = let(country(a), lambda land: F.when(land.isNotNull(), place(r, 0.8, land=land)).otherwise(place(r, 0.5, city)))
+        abroad = let(country(b), lambda land: F.when(land.isNotNull(), place(r, 0.9, city, land=land)).otherwise(place(r, 0.75, city, py_title(b))))
+        two = let(state(b), lambda s: F.when(s.isNotNull(), place(r, 0.95, city, s, F.lit("US"))).otherwise(abroad))
+        return (
+            F.when(F.coalesce(r == "", F.lit(True)), place(F.lit(""), 0.0))
+            .when(F.lower(r).contains("remote") & r.rlike(r"(?Ui)\bremote\b"), place(r, 0.7))
+            .when(F.size(p) == 1, alone)
+            .when(F.size(p) == 2, two)
+            .otherwise(place(r, 0.9, city, F.coalesce(state(b), py_title(b)), country(last)))
+        )
 
     return let(strip(raw), lambda r: let(F.split(r, ",", -1), lambda p: judged(r, p)))
 

@@ -30,8 +30,10 @@ def taxonomy() -> dict[str, str]:
 def skill(raw: Column, known: dict[str, str] | None = None) -> Column:
     """struct<value, conf, known>: an alias 1.0, the first alias (in file order) followed by a blank or dot 0.9, else title case 0.7."""
     known = taxonomy() if known is None else known
-    aliases = literal_structs([{"a": a, "c": c} for a, c in known.items()]) if known else None
-    clean = strip(F.regexp_replace(F.regexp_replace(strip(raw), r"(?U)[^\w\s.+#-]", ""), r"(?U)\s+", " "))
+    aliases = literal_structs([{"b": a + " ", "d": a + ".", "c": c} for a, c in known.items()]) if known else None
+    # most are plain (letters, digits and single blanks), of which the patterns below would take nothing away
+    cleaned = lambda t: F.when(t.rlike(r"[^\w .+#-]|  "), strip(F.regexp_replace(F.regexp_replace(t, r"(?U)[^\w\s.+#-]", ""), r"(?U)\s+", " "))).otherwise(t)
+    clean = let(strip(raw), cleaned)
 
     def told(value: Column, conf: float, is_known: bool) -> Column:
         return F.struct(value.alias("value"), F.lit(conf).alias("conf"), F.lit(is_known).alias("known"))
@@ -39,7 +41,8 @@ def skill(raw: Column, known: dict[str, str] | None = None) -> Column:
     def judged(c: Column) -> Column:
         key = F.lower(c)
         exact = lookup(known, key) if known else F.lit(None).cast("string")
-        begun = F.get(F.filter(aliases, lambda x: key.startswith(F.concat(x["a"], F.lit(" "))) | key.startswith(F.concat(x["a"], F.lit(".")))), F.lit(0))["c"] if known else F.lit(None).cast("string")
+        first = lambda k: F.get(F.filter(aliases, lambda x: k.startswith(x["b"]) | k.startswith(x["d"])), F.lit(0))["c"]
+        begun = F.when(c.contains(" ") | c.contains("."), let(key, first)) if known else F.lit(None).cast("string")
         nothing = told(F.lit(""), 0.0, False)
         return F.when(F.coalesce(c == "", F.lit(True)), nothing).otherwise(let(exact, lambda e: F.when(e.isNotNull(), told(e, 1.0, True)).otherwise(let(begun, lambda b: F.when(b.isNotNull(), told(b, 0.9, True)).otherwise(told(py_title(c), 0.7, False))))))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import people
+from ..functions.core import let
 
 #: The DNS namespace of name-based UUIDs.
 _NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
@@ -23,8 +24,8 @@ def uuid5_id(key: Column) -> Column:
 
 def primary_email(normalised: Column) -> Column:
     """The smallest of the valid addresses, its alias folded afterwards."""
-    least = F.array_min(F.filter(normalised, lambda e: e.isNotNull()))
-    return F.when(people.is_alias(least), people.base_address(least)).otherwise(least)
+    least = F.array_min(normalised)  # which passes nulls over
+    return let(least, lambda e: F.when(people.is_alias(e), people.base_address(e)).otherwise(e))
 
 
 def iso(at: Column) -> Column:
@@ -36,14 +37,10 @@ def iso(at: Column) -> Column:
 
 def candidate_id(emails: Column, name: Column, phones: Column, source_id: Column, extracted_at: Column) -> Column:
     """emails and phones: arrays of normalised values (nulls where invalid); name: the normalised name."""
-    email, phone = primary_email(emails), F.get(F.filter(phones, lambda p: p.isNotNull()), F.lit(0))
-    low = F.lower(name)
-    return (
-        F.when(email.isNotNull(), hash_id(email))
-        .when(name.isNotNull() & phone.isNotNull(), uuid5_id(F.concat(low, F.lit(":"), phone)))
-        .when(name.isNotNull(), uuid5_id(low))
-        .otherwise(uuid5_id(F.concat(F.lit("unknown:"), F.coalesce(source_id, F.lit("None")), F.lit(":"), F.coalesce(iso(extracted_at), F.lit("None")))))
-    )
+    phone, low = F.get(F.filter(phones, lambda p: p.isNotNull()), F.lit(0)), F.lower(name)
+    # concat is null where one of its parts is
+    key = F.coalesce(F.concat(low, F.lit(":"), phone), low, F.concat(F.lit("unknown:"), F.coalesce(source_id, F.lit("None")), F.lit(":"), F.coalesce(iso(extracted_at), F.lit("None"))))
+    return let(primary_email(emails), lambda email: F.when(email.isNotNull(), hash_id(email)).otherwise(let(key, uuid5_id)))
 
 
 def with_identity(raw: DataFrame) -> DataFrame:
